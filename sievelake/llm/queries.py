@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.distinctive import term_scores
 from sievelake.llm.mixing import mix
 from sievelake.llm.neighbours import KnnParams, nearest_neighbours, neighbour_pairs
+from sievelake.llm.sentences import split_sentences
 from sievelake.llm.tokenizer import encode_corpus
 from sievelake.llm.topn import top_n
 from sievelake.sources.tables import table
@@ -82,9 +83,14 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf)[1]
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of every document."""
+    return split_sentences(table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found,
-    "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 
 _TERMS = """
