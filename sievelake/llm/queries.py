@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.distinctive import term_scores
 from sievelake.llm.mixing import mix
 from sievelake.llm.neighbours import KnnParams, nearest_neighbours, neighbour_pairs
+from sievelake.llm.private import find_private, redact
 from sievelake.llm.sentences import split_sentences
 from sievelake.llm.tokenizer import encode_corpus
 from sievelake.llm.topn import top_n
@@ -35,6 +36,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbour_pairs(p2_neighbours(spark, sf))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Contacts and identities in the items' descriptions."""
+    items = table(spark, sf, "benchmark_items", ["item_id", "item_description_raw"])
+    return find_private(items, "item_id", "item_description_raw").select("item_id", "kind", "found_text").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions with typed placeholders, once an item."""
+    items = table(spark, sf, "benchmark_items", ["item_id", "item_description_raw"]).dropDuplicates(["item_id"])
+    return redact(items, "item_description_raw").select("item_id", "redacted")
+
+
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Log-likelihood ratio of every term of every item."""
     items = table(spark, sf, "benchmark_items", ["item_id", "item_title_raw", "item_description_raw"])
@@ -89,7 +102,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found,
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found,
     "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 

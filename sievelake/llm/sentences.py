@@ -44,6 +44,7 @@ _THAI_GAP = re.compile(rf"(?<=[{THAI}])([​]*\s[\s​]*)(?=[{THAI}])")
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 COUNTS = ("n", "low", "mid", "strong", "closed", "dot", "digit", "on", "cap", "open")
 NUMBER = "##"
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
 
 def script(ch: str) -> str:
@@ -66,7 +67,7 @@ def script(ch: str) -> str:
 def word_type(word: str) -> str:
     if word[0].isdigit() and word.replace(".", "").replace("-", "").replace("'", "").isdigit():
         return NUMBER
-    word = word.replace("​", "")
+    word = _STRETCHED.sub(r"\1", word.replace("​", ""))
     return (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
 
 
