@@ -19,7 +19,8 @@ SEARCH_COLS = ["search_query", "search_location_id", "search_is_delivery_search"
 
 def one_per_item(items: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A row per item_id: the smallest value of each column (repeated rows differ in price at most). Combined before its one shuffle."""
-    return items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(*[F.min(c).alias(c) for c in (columns or items.columns) if c != "item_id"])
+    known, rest = items.where(F.col("item_id").isNotNull()), [c for c in (columns or items.columns) if c != "item_id"]
+    return known.groupBy("item_id").agg(*[F.min(c).alias(c) for c in rest]) if rest else known.select("item_id").distinct()
 
 
 def items_union(corpus: DataFrame, log: DataFrame, position: Sequence[Column]) -> DataFrame:

@@ -1,4 +1,505 @@
-"""Queries of the retrieval and ranking pipeline's operators and their SQL."""
+"""Queries of the retrieval and ranking pipeline's operators and their SQL.
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+Where SQL cannot stem or look around, queries use unstemmed tokens or have no SQL; every query reads its whole tables and whole texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelake.functions import text as X
+from sievelake.functions.geo import haversine_km
+from sievelake.operators import embed, evaluate, features, filters, location, prep, querylog, ranker, sources, split, windows
+from sievelake.operators.index import Bm25Index, collection_stats, covered_idf, query_terms, small_side, sparse_topk, term_counts, tfidf
+from sievelake.plans import pipeline
+from sievelake.plans.relational_sql import SQL  # noqa: F401
+from sievelake.sources.tables import table
+from sievelake.staging import stage
+
+TEXTS = ("item_title_raw", "item_infm_params_text", "item_description_raw")
+
+
+def corpus(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return prep.one_per_item(table(spark, sf, "benchmark_items", ["item_id", *columns]))
+
+
+def all_terms():
+    title, params, desc = (X.tokens(F.col(c)) for c in TEXTS)
+    return F.concat(title, title, params, desc)
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return query_terms(table(spark, sf, "benchmark_queries", ["qi", "search_query"]), "qi", X.tokens(F.col("search_query")))
+
+
+def index(spark: SparkSession, sf: str, kind: str = "all") -> Bm25Index:
+    if kind == "title":
+        return Bm25Index.build(corpus(spark, sf, "item_title_raw"), "item_id", X.tokens(F.col("item_title_raw")), b=0.5)
+    return Bm25Index.build(corpus(spark, sf, *TEXTS), "item_id", all_terms())
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks with the normalised query text and its terms."""
+    raw = table(spark, sf, "train", ["log_id", "search_query", "item_id"])
+    return raw.select("log_id", "item_id", X.normalize(F.col("search_query")).alias("qn"), X.tokens(F.col("search_query")).alias("q_terms"))
+
+
+def known_items(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Corpus items and, after them, items of the log by their first row."""
+    wanted = ["item_id", *columns]
+    return prep.items_union(corpus(spark, sf, *columns), table(spark, sf, "train", [*wanted, "log_id"]), [F.asc("log_id")])
+
+
+# ---- text -------------------------------------------------------------------------------------------------------------------------
+
+
+def normalize_tokens(spark, sf):
+    return corpus(spark, sf, "item_title_raw").select("item_id", X.normalize(F.col("item_title_raw")).alias("norm"), F.array_join(X.tokens(F.col("item_title_raw"), drop_stop=False), " ").alias("tokens"))
+
+
+def stopword_filter(spark, sf):
+    t = X.tokens(F.col("item_description_raw"))
+    return corpus(spark, sf, "item_description_raw").select("item_id", F.size(t).cast("long").alias("n_kept"), F.array_join(t, " ").alias("kept"))
+
+
+def stem_tokens(spark, sf):
+    """Distinct tokens of all item texts with their stems: each is stemmed once."""
+    terms = corpus(spark, sf, *TEXTS).select(F.explode(all_terms()).alias("token")).distinct()
+    return terms.select("token", X.stem(F.col("token")).alias("stem"))
+
+
+def stemmed_items(spark, sf):
+    """Stemmed title, cleaned parameters and whole description of every item."""
+    return prep.with_stems(corpus(spark, sf, *TEXTS, "item_price", "item_latitude", "item_longitude"), max_chars=None).select("item_id", "t_title", "t_params", "t_desc")
+
+
+def char_wb_ngrams(spark, sf):
+    grams = table(spark, sf, "benchmark_queries", ["qi", "search_query"]).select("qi", F.explode(X.char_ngrams(X.normalize(F.col("search_query")))).alias("gram"))
+    return grams.groupBy("qi", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hash_bucket_tokens(spark, sf):
+    return table(spark, sf, "benchmark_queries", ["qi", "search_query"]).select("qi", embed.query_tokens(F.col("search_query")).alias("buckets"))
+
+
+def item_hash_tokens(spark, sf):
+    items = prep.with_stems(corpus(spark, sf, *TEXTS, "item_microcat_id", "item_price", "item_latitude", "item_longitude"), max_chars=None)
+    return items.select("item_id", embed.item_tokens(F.col("item_title_raw"), F.col("t_title"), F.col("t_params"), F.col("t_desc"), F.col("item_microcat_id")).alias("buckets"))
+
+
+def params_without_place(spark, sf):
+    return corpus(spark, sf, "item_infm_params_text").select("item_id", X.clean_params(F.col("item_infm_params_text")).alias("params"))
+
+
+def parse_filters(spark, sf):
+    pairs = table(spark, sf, "benchmark_queries", ["qi", "search_infm_params_text"]).select("qi", F.posexplode(X.filter_pairs(F.col("search_infm_params_text"))).alias("pos", "p"))
+    return pairs.select("qi", "pos", F.col("p.key").alias("filter_key"), F.col("p.value").alias("filter_value"))
+
+
+def required_phrases(spark, sf):
+    return table(spark, sf, "benchmark_queries", ["qi", "search_infm_params_text"]).select("qi", F.array_join(X.required_phrases(F.col("search_infm_params_text")), "|").alias("phrases"))
+
+
+# ---- index ------------------------------------------------------------------------------------------------------------------------
+
+
+def term_frequency(spark, sf):
+    return term_counts(corpus(spark, sf, *TEXTS), "item_id", all_terms()).select("item_id", "term", "tf")
+
+
+def doc_frequency(spark, sf):
+    return term_frequency(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def doc_length_avg(spark, sf):
+    return collection_stats(corpus(spark, sf, *TEXTS), all_terms()).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def bm25_idf(spark, sf):
+    return index(spark, sf).idf().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_postings(spark, sf):
+    return index(spark, sf).postings().select("item_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def bm25_topk(spark, sf):
+    scores = index(spark, sf).scores(asked(spark, sf), "qi")
+    return sparse_topk(scores, "qi", "item_id", "score", 50, rank="rnk").select("qi", "item_id", "score", "rnk")
+
+
+def bm25_title_weighted(spark, sf):
+    scores = index(spark, sf, "title").scores(asked(spark, sf), "qi")
+    return sparse_topk(scores, "qi", "item_id", "score", 50, rank="rnk").select("qi", "item_id", "score", "rnk")
+
+
+def idf_coverage(spark, sf):
+    """Share of the query's idf that the 100 best items of the title index cover, by title idf over whole-text idf."""
+    q, whole = asked(spark, sf), index(spark, sf)
+    total = q.join(whole.idf(q.select("term").distinct()).select("term", "idf"), "term").groupBy("qi").agg(F.sum("idf").alias("q_idf"))
+    best = sparse_topk(index(spark, sf, "title").scores(q, "qi"), "qi", "item_id", "score", sources.K["title"])
+    return best.join(small_side(total), "qi", "left").select("qi", "item_id", F.round(covered_idf(F.col("matched_idf"), F.coalesce("q_idf", F.lit(0.0))), 6).alias("cov_title"))
+
+
+def tfidf_l2(spark, sf):
+    weights, _ = tfidf(querylog.log_texts(log(spark, sf)), "qn", X.char_ngrams(F.col("qn")))
+    return weights.select("qn", "term", F.round("weight", 6).alias("weight"))
+
+
+# ---- query log --------------------------------------------------------------------------------------------------------------------
+
+
+def near(spark, sf) -> DataFrame:
+    q = table(spark, sf, "benchmark_queries", ["qi", "search_query"]).select("qi", X.normalize(F.col("search_query")).alias("qn"))
+    return stage(querylog.neighbours(q, log(spark, sf)), "near")
+
+
+def query_neighbors(spark, sf):
+    return near(spark, sf)
+
+
+def profiles(spark, sf) -> DataFrame:
+    clicks = log(spark, sf)
+    light = known_items(spark, sf, "item_title_raw")
+    titles = light.select("item_id", F.explode(F.array_distinct(X.tokens(F.col("item_title_raw")))).alias("term"))
+    vocabulary = titles.join(corpus(spark, sf).select("item_id"), "item_id", "left_semi").select("term").distinct()
+    return querylog.text_profiles(querylog.click_shares(clicks.join(light.select("item_id"), "item_id", "left_semi")), titles.join(vocabulary, "term", "left_semi"))
+
+
+def log_profiles(spark, sf):
+    return profiles(spark, sf).select("qn", "term", F.round("value", 6).alias("value"))
+
+
+def query_profile(spark, sf):
+    return querylog.query_profiles(near(spark, sf), profiles(spark, sf))
+
+
+def term_translation(spark, sf):
+    return querylog.translations(log(spark, sf), profiles(spark, sf), "log_id")
+
+
+def query_translation(spark, sf):
+    return querylog.query_translations(asked(spark, sf), stage(term_translation(spark, sf), "translations"))
+
+
+def pmc(spark, sf) -> DataFrame:
+    light = known_items(spark, sf, "item_microcat_id")
+    shares = querylog.click_shares(log(spark, sf).join(light.select("item_id"), "item_id", "left_semi"))
+    return querylog.query_microcats(near(spark, sf), querylog.text_microcats(shares, light))
+
+
+def microcat_distribution(spark, sf):
+    return pmc(spark, sf).select("qi", "item_microcat_id", F.round("pmc", 6).alias("pmc"))
+
+
+def item_history(spark, sf):
+    return querylog.item_history(log(spark, sf), corpus(spark, sf))
+
+
+def corpus_clicks(spark, sf) -> DataFrame:
+    return log(spark, sf).join(corpus(spark, sf), "item_id", "left_semi").groupBy("qn", "item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def history_topk(spark, sf):
+    hist = querylog.query_history(near(spark, sf), corpus_clicks(spark, sf))
+    return windows.top_k(hist.withColumn("hist_nb", F.round("hist_nb", 6)), ["qi"], "hist_nb", "item_id", 50).select("qi", "item_id", "hist_nb", F.col("hist_exact").cast("long").alias("hist_exact"))
+
+
+# ---- relational -------------------------------------------------------------------------------------------------------------------
+
+
+def first_by_position(spark, sf):
+    """First log row of each item."""
+    rows = table(spark, sf, "train", ["item_id", "log_id", "search_query", "item_price"]).where(F.col("item_id").isNotNull())
+    return windows.first_by(rows, ["item_id"], [F.asc("log_id")])
+
+
+def union_precedence(spark, sf):
+    return known_items(spark, sf, "item_title_raw", "item_microcat_id").select("item_id", "item_title_raw", "item_microcat_id", "in_bench")
+
+
+def pairs(spark, sf) -> DataFrame:
+    return table(spark, sf, "train", [*split.EVENT_KEY, "item_id", "log_id"])
+
+
+def ordered_distinct_list(spark, sf):
+    out = split.events(pairs(spark, sf), "log_id")
+    return out.select(*split.EVENT_KEY, F.col("first").alias("first_log_id"), F.array_join("relevant", " ").alias("relevant"))
+
+
+def event_all_in_corpus(spark, sf):
+    return split.events_within(pairs(spark, sf), corpus(spark, sf)).select(*split.EVENT_KEY)
+
+
+PARAMS = split.SplitParams(corpus_size=2000, n_texts=100, n_eval=30)
+
+
+def md5_bucket_split(spark, sf):
+    return split.item_groups(pairs(spark, sf), PARAMS)
+
+
+def sample_exact_n(spark, sf):
+    return split.split_corpus(split.item_groups(pairs(spark, sf), PARAMS), PARAMS)
+
+
+def validation_events(spark, sf):
+    p, rows = PARAMS, pairs(spark, sf)
+    chosen = stage(split.split_corpus(split.item_groups(rows, p), p), "val-corpus")
+    out = split.validation_queries(rows, chosen, "log_id", p)
+    return out.select("query_id", "part", "search_query", "search_location_id", F.array_join("relevant", " ").alias("relevant"))
+
+
+def anti_join_fit(spark, sf):
+    """Log rows that remain to learn from: no new items, no validation events."""
+    p, rows = PARAMS, pairs(spark, sf)
+    groups = split.item_groups(rows, p)
+    chosen = stage(split.split_corpus(groups, p), "val-corpus")
+    val = stage(split.validation_queries(rows, chosen, "log_id", p), "val-queries")
+    return split.fit_rows(rows, groups, val).select("log_id", "item_id")
+
+
+def split_leakage(spark, sf):
+    p, rows = PARAMS, pairs(spark, sf)
+    groups = split.item_groups(rows, p)
+    chosen = stage(split.split_corpus(groups, p), "val-corpus")
+    val = stage(split.validation_queries(rows, chosen, "log_id", p), "val-queries")
+    out = split.leakage(split.fit_rows(rows, groups, val), val, chosen)
+    return out.select(F.round("seen_texts", 6).alias("seen_texts"), F.round("seen_items", 6).alias("seen_items"))
+
+
+# ---- location and filters ---------------------------------------------------------------------------------------------------------
+
+
+def placed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    items = known_items(spark, sf, "item_location_id", "item_latitude", "item_longitude")
+    return items, table(spark, sf, "train", ["search_location_id", "item_id"]).join(items, "item_id")
+
+
+def location_conditional(spark, sf):
+    return location.conditional(placed(spark, sf)[1]).select("search_location_id", "item_location_id", "n", F.round("p", 6).alias("p"))
+
+
+def location_median_centroid(spark, sf):
+    return location.centroids(*placed(spark, sf)).select("location", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n_points")
+
+
+def haversine_distance(spark, sf):
+    """Distance of every placed item from the centre of its location."""
+    items, clicks = placed(spark, sf)
+    centres = location.centroids(items, clicks)
+    out = items.join(centres, F.col("item_location_id") == F.col("location")).where(F.col("item_latitude").isNotNull() & F.col("item_longitude").isNotNull())
+    return out.select("item_id", F.round(haversine_km(F.col("item_latitude"), F.col("item_longitude"), F.col("lat"), F.col("lon")), 4).alias("km"))
+
+
+def priors(spark, sf) -> DataFrame:
+    items, clicks = placed(spark, sf)
+    q = table(spark, sf, "benchmark_queries", ["search_location_id"])
+    return location.location_table(q, corpus(spark, sf, "item_location_id"), location.conditional(clicks), stage(location.centroids(items, clicks), "centres"))
+
+
+def location_log_prior(spark, sf):
+    return priors(spark, sf).select("s_loc", "item_loc", F.round("loc_dist", 4).alias("loc_dist"), F.round("loc_logp", 6).alias("loc_logp"))
+
+
+def filter_match_fraction(spark, sf):
+    values = filters.value_dictionary(table(spark, sf, "train", ["search_infm_params_text"]))
+    have = filters.item_values(corpus(spark, sf, "item_infm_params_text"), "item_id", "item_infm_params_text", values)
+    wanted = filters.query_values(table(spark, sf, "benchmark_queries", ["qi", "search_infm_params_text"]), "qi", "search_infm_params_text")
+    return filters.match_fraction(wanted, have, "qi", "item_id").withColumn("fb", F.round("fb", 6))
+
+
+# ---- sources ----------------------------------------------------------------------------------------------------------------------
+
+
+def numeric_items(spark, sf) -> DataFrame:
+    items = corpus(spark, sf, "item_location_id", "item_microcat_id", "item_rating_reviews_count")
+    return items.select("item_id", "item_location_id", "item_microcat_id", F.log1p(F.coalesce("item_rating_reviews_count", F.lit(0)).cast("double")).alias("reviews"))
+
+
+def bm25_location_topk(spark, sf):
+    """The source 'all': BM25 and twice the log prior of the item's location."""
+    q = table(spark, sf, "benchmark_queries", ["qi", "search_location_id"])
+    scores = sources.with_context(index(spark, sf).scores(asked(spark, sf), "qi"), q, corpus(spark, sf, "item_location_id"), stage(priors(spark, sf), "places"), None)
+    return sources.text_source(scores.where(F.col("loc_logp").isNotNull()), "all").select("qi", "item_id")
+
+
+def microcat_topk(spark, sf):
+    q = table(spark, sf, "benchmark_queries", ["qi", "search_location_id"])
+    return sources.microcat_source(q, stage(pmc(spark, sf), "pmc"), stage(numeric_items(spark, sf), "items"), stage(priors(spark, sf), "places"), None).select("qi", "item_id")
+
+
+def popular_topk(spark, sf):
+    q = table(spark, sf, "benchmark_queries", ["qi", "search_location_id"])
+    return sources.popular_source(q, stage(numeric_items(spark, sf), "items"), stage(priors(spark, sf), "places")).select("qi", "item_id")
+
+
+def vectors(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "emb_items_full", ["ci", "embedding"]).where(F.size("embedding") == 128)
+    return rows.where(~F.exists("embedding", lambda x: F.isnan(x) | x.isNull()) & F.exists("embedding", lambda x: x != 0)).dropDuplicates(["ci"])
+
+
+def embedding_topk(spark, sf):
+    """The 100 most similar items of each item whose ci is divisible by 100, against all items."""
+    v = vectors(spark, sf)
+    q = v.where(F.col("ci") % 100 == 0).select(F.col("ci").alias("q_ci"), "embedding")
+    return sources.vector_scores(q, v, "q_ci", "ci", "embedding", sources.K["emb"]).select("q_ci", "ci", "sim")
+
+
+def embedding_global_max(spark, sf):
+    v = vectors(spark, sf)
+    q = v.where(F.col("ci") % 100 == 0).select(F.col("ci").alias("q_ci"), "embedding")
+    return sources.vector_scores(q, v, "q_ci", "ci", "embedding", 1).groupBy("q_ci").agg(F.max("sim_max").alias("sim_max"))
+
+
+def cands(spark, sf, *columns: str) -> DataFrame:
+    return table(spark, sf, "candidates", ["qi", "ci", *columns])
+
+
+def candidate_union_flags(spark, sf):
+    """Flags of each candidate from the rows of the single sources."""
+    rows = [cands(spark, sf, f"src_{n}").where(F.col(f"src_{n}") == 1).select("qi", "ci", F.lit(n).alias("source")) for n in sources.K]
+    return sources.union_sources(rows, "qi", "ci")
+
+
+def candidate_lookup_default(spark, sf):
+    """Every candidate's number of clicks in the log, 0 where there is none."""
+    ids = table(spark, sf, "emb_items_full", ["ci", "item_id"]).dropDuplicates(["ci"])
+    clicks = table(spark, sf, "train", ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).join(ids, "item_id").select("ci", "n")
+    out = cands(spark, sf).distinct().join(clicks, "ci", "left")
+    return out.select("qi", "ci", F.coalesce("n", F.lit(0)).alias("n_clicks"))
+
+
+# ---- features, labels, evaluation --------------------------------------------------------------------------------------------------
+
+
+def relative_to_max(spark, sf):
+    out = windows.relative(cands(spark, sf, "bm_all", "loc_logp", "score").withColumn("bm_all", F.col("bm_all").cast("double")).withColumn("loc_logp", F.col("loc_logp").cast("double")), "qi", ["bm_all", "loc_logp", "score"])
+    return out.select("qi", "ci", *[(F.round(f"{c}_rel", 5) + F.lit(0.0)).alias(f"{c}_rel") for c in ("bm_all", "loc_logp", "score")])
+
+
+def rank_min(spark, sf):
+    out = windows.relative(cands(spark, sf, "bm_all", "score"), "qi", ["bm_all", "score"])
+    return out.select("qi", "ci", "bm_all_rank", "score_rank")
+
+
+def base_score_rank(spark, sf):
+    d = lambda c: F.col(c).cast("double")
+    rows = cands(spark, sf, "bm_all", "emb_sim", "loc_logp").select("qi", "ci", F.round(d("bm_all") + 2 * d("loc_logp"), 5).alias("base"), F.round(40 * d("emb_sim") + 2 * d("loc_logp"), 5).alias("emb_base"))
+    return rows.withColumn("base_rank", windows.rank_of(F.col("base"), "qi")).withColumn("emb_base_rank", windows.rank_of(F.col("emb_base"), "qi"))
+
+
+def clicked(spark, sf) -> DataFrame:
+    """(qi, ci) of queries and items that occur together in the log under the same text."""
+    ids = table(spark, sf, "emb_items_full", ["ci", "item_id"]).dropDuplicates(["ci"])
+    texts = table(spark, sf, "benchmark_queries", ["qi", "search_query"]).select("qi", X.normalize(F.col("search_query")).alias("qn"))
+    return log(spark, sf).select("qn", "item_id").distinct().join(ids, "item_id").join(texts, "qn").select("qi", "ci")
+
+
+def label_join(spark, sf):
+    return features.add_labels(cands(spark, sf).distinct(), clicked(spark, sf), "qi", "ci").select("qi", "ci", "label")
+
+
+def labelled(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(candidates once each with their best score, queries with the number of relevant ones)."""
+    rows = cands(spark, sf, "score", "label", *[f"src_{n}" for n in sources.K])
+    score = F.when(F.isnan("score"), None).otherwise(F.col("score"))
+    once = rows.groupBy("qi", "ci").agg(F.max(score).alias("score"), F.max("label").alias("label"), *[F.max(f"src_{n}").alias(f"src_{n}") for n in sources.K])
+    relevant = once.groupBy("qi").agg(F.sum("label").alias("n_relevant")).where(F.col("n_relevant") > 0)
+    return once, relevant
+
+
+def recall_at_k(spark, sf):
+    once, relevant = labelled(spark, sf)
+    out = evaluate.recall_at(once.where(F.col("score").isNotNull()), relevant, "score")
+    return out.select("qi", "hits", "n_relevant", F.round("recall", 6).alias("recall"))
+
+
+def mean_recall(spark, sf):
+    once, relevant = labelled(spark, sf)
+    return evaluate.mean_recall(evaluate.recall_at(once.where(F.col("score").isNotNull()), relevant, "score"))
+
+
+def recall_ceiling(spark, sf):
+    return evaluate.ceiling(*labelled(spark, sf))
+
+
+def per_source_recall(spark, sf):
+    return evaluate.source_recall(*labelled(spark, sf), list(sources.K))
+
+
+def group_has_positive(spark, sf):
+    return evaluate.with_positive(cands(spark, sf, "label")).groupBy("qi").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("n_positive"))
+
+
+def answer_rows(spark, sf) -> DataFrame:
+    once, _ = labelled(spark, sf)
+    ids = table(spark, sf, "emb_items_full", ["ci", "item_id"]).dropDuplicates(["ci"])
+    return evaluate.answers(once.where(F.col("score").isNotNull()).join(ids, "ci"), table(spark, sf, "benchmark_queries", ["qi", "query_id"]), "score")
+
+
+def answer_string_agg(spark, sf):
+    return answer_rows(spark, sf)
+
+
+def answer_validation(spark, sf):
+    return evaluate.check_answers(stage(answer_rows(spark, sf), "answers"), table(spark, sf, "benchmark_queries", ["query_id"]), table(spark, sf, "benchmark_items", ["item_id"]))
+
+
+def row_normalize_topk(spark, sf):
+    """Share of each candidate in its query's positive BM25 mass, the 30 largest."""
+    once = cands(spark, sf, "bm_all").groupBy("qi", "ci").agg(F.max(F.col("bm_all").cast("double")).alias("v")).where(F.col("v") > 0)
+    shares = windows.row_shares(once, ["qi"], "v").withColumn("share", F.round("share", 6))
+    return windows.top_k(shares, ["qi"], "share", "ci", 30).select("qi", "ci", "share")
+
+
+def feature_vector_wide(spark, sf):
+    """Numeric item columns as the ranker sees them, with unstemmed texts."""
+    columns = ["item_category_id", "item_microcat_id", "item_price", "item_rating", "item_rating_reviews_count", "item_location_id", "item_is_phone_hidden", "item_is_message_forbidden"]
+    items = corpus(spark, sf, *TEXTS, *columns).withColumns({"t_title": F.array_join(X.tokens(F.col("item_title_raw")), " "), "t_desc": F.array_join(X.tokens(F.col("item_description_raw")), " ")})
+    out = features.item_features(items).drop("item_location_id", "item_microcat_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("reviews", "log_price", "rating")})
+
+
+def feature_gain(spark, sf):
+    """Gain shares of a small ranker fitted on the candidates of all queries."""
+    names = ["bm_all", "emb_sim", "loc_logp", *[f"src_{n}" for n in sources.K]]
+    data = cands(spark, sf, *names, "label")
+    forest = ranker.train_ranker(data, names, ranker.RankParams(rounds=20, leaves=15))
+    return spark.createDataFrame(sorted(forest.gains().items()), "feature string, gain_share double")
+
+
+def ranker_score(spark, sf):
+    """Candidates scored by a ranker fitted on them."""
+    names = ["bm_all", "emb_sim", "loc_logp", *[f"src_{n}" for n in sources.K]]
+    data = cands(spark, sf, *names, "label")
+    forest = ranker.train_ranker(data, names, ranker.RankParams(rounds=20, leaves=15))
+    return ranker.score_candidates(data, forest, out="ranker_score").select("qi", "ci", "ranker_score")
+
+
+def tower_vectors(spark, sf):
+    """Query vectors of towers trained on the log."""
+    known, log_pairs = pipeline.prepare(table(spark, sf, "benchmark_items"), table(spark, sf, "train"), "log_id", max_chars=None)
+    q = prep.prepare_queries(table(spark, sf, "benchmark_queries"))
+    return pipeline.train_vectors(known, log_pairs, q, embed.TowerParams(buckets=1 << 15, dim=32, epochs=2))[1]
+
+
+def pipeline_answer(spark, sf):
+    """The whole pipeline without a trained ranker: answers of all benchmark queries."""
+    towers = embed.TowerParams(buckets=1 << 15, dim=32, epochs=2)
+    return pipeline.answer(table(spark, sf, "benchmark_items"), table(spark, sf, "train"), table(spark, sf, "benchmark_queries"), "log_id", towers=towers, max_chars=None)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_tokens, stopword_filter, stem_tokens, stemmed_items, char_wb_ngrams, hash_bucket_tokens, item_hash_tokens, params_without_place, parse_filters, required_phrases,
+        term_frequency, doc_frequency, doc_length_avg, bm25_idf, bm25_postings, bm25_topk, bm25_title_weighted, idf_coverage, tfidf_l2,
+        query_neighbors, log_profiles, query_profile, term_translation, query_translation, microcat_distribution, item_history, history_topk,
+        first_by_position, union_precedence, ordered_distinct_list, event_all_in_corpus, md5_bucket_split, sample_exact_n, validation_events, anti_join_fit, split_leakage,
+        location_conditional, location_median_centroid, haversine_distance, location_log_prior, filter_match_fraction,
+        bm25_location_topk, microcat_topk, popular_topk, embedding_topk, embedding_global_max, candidate_union_flags, candidate_lookup_default,
+        relative_to_max, rank_min, base_score_rank, label_join, recall_at_k, mean_recall, recall_ceiling, per_source_recall, group_has_positive,
+        answer_string_agg, answer_validation, row_normalize_topk, feature_vector_wide, feature_gain, ranker_score, tower_vectors, pipeline_answer,
+    )
+}
