@@ -24,7 +24,8 @@ class KnnParams:
     """k neighbours; at least ``min_similarity``; ``margin`` and ``max_cells``: copies to cells at most so much less similar than the nearest.
 
     The index (centroids) is fitted on at most ``sample`` vectors, all vectors are indexed. ``error`` scales the bound of the estimate: 1.9 misses about
-    one true neighbour in thousands, 3.0 practically none. Cells of more than ``block`` vectors are searched in blocks of queries.
+    one true neighbour in thousands, 3.0 practically none. There are as many cells as the root of the number of vectors, but of at least ``least_cell`` vectors on average, so that small collections are
+    searched whole; cells of more than ``block`` vectors are searched in blocks of queries.
     """
 
     dim: int = 128
@@ -33,6 +34,7 @@ class KnnParams:
     sample: int = 20_000
     rounds: int = 6
     max_centroids: int = 4096
+    least_cell: int = 500
     margin: float = 0.12
     max_cells: int = 4
     error: float = 3.0
@@ -188,7 +190,7 @@ def nearest_neighbours(df: DataFrame, item: str, vector: str, params: KnnParams
     x = valid_vectors(pa.array(some.column(0).combine_chunks()) if some.num_rows else pa.array([], pa.list_(pa.float32())), p.dim)[1]
     if not len(x):
         return spark.createDataFrame([], schema)
-    count = int(min(p.max_centroids, max(1, total**0.5), max(1, len(x) // 8)))
+    count = int(max(1, min(p.max_centroids, total**0.5, total / p.least_cell, len(x) // 8)))
     centres = fit_centroids(unit(x).astype(np.float32), count, p.rounds, p.seed)
     turn = rotation(p.dim, p.seed)
     shared = spark.sparkContext.broadcast((centres, turn))  # at most max_centroids vectors
