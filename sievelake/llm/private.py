@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ _LABEL = r"(?:[a-zа-яё0-9][a-zа-яё0-9-]*|[A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9-]*)
 _MAIL = re.compile(
     rf"[\w.+%-]*\w(?:@| @ |\s*[(\[]\s*(?:собака|at)\s*[)\]]\s*|\s+собака\s+){_LABEL}(?:(?:\.| \. |\s*[(\[]\s*(?:точка|dot)\s*[)\]]\s*|\s+точка\s+){_LABEL})+"
 )
+_AT = re.compile(r"@|собака|[(\[]\s*at\s*[)\]]")  # without one of these no mail address can match
 _GLUE = r"(?:\s?[-‑–—/]\s?|\.(?!\s)|\s?\(|\)\s?[-‑–]?\s?|\s{1,2})?"
 _CALL = re.compile(rf"(?<![\d№+])(?:\+?[78]{_GLUE}\d(?:{_GLUE}\d){{9}}|\(\d{{3,5}}\)(?:{_GLUE}\d){{5,7}}|\+\d{{1,3}}{_GLUE}\d(?:{_GLUE}\d){{6,11}})(?![\d])")
 _DIGITS = re.compile(r"(?<![\d+(.,])\d(?:(?:[\s-]|\s?№\s?)?\d){7,14}(?![\d])")
@@ -157,6 +159,7 @@ def _street_votes(text: str, a: int, b: int, left: list[str]) -> tuple[int, ...]
     return (ADDRESS if kind else NONE, ADDRESS if flat else ABSTAIN, ADDRESS if near else ABSTAIN, NONE if wrong else ABSTAIN, ADDRESS if re.search(r"\d", s) else NONE)
 
 
+@lru_cache(maxsize=200_000)
 def _part(token: str) -> str:
     """What a word can be in a name: first name, patronymic, surname, initial or nothing."""
     if token.endswith("."):
@@ -193,7 +196,7 @@ def propose(text: str) -> list[Span]:
         tail = text[b : b + 2]
         out.append(Span(family, a, b, votes, (*(f"l{i}={w}" for i, w in enumerate(left[:2])), f"n={min(sum(c.isdigit() for c in text[a:b]), 16)}", f"r={tail[:1]}", *marks)))
 
-    for m in _MAIL.finditer(text):
+    for m in _MAIL.finditer(text) if _AT.search(text) else ():
         left = _left_words(text, m.start())
         add(0, m.start(), m.end(), _mail_votes(text, m.start(), m.end(), left), left)
         taken.append(m.span())
@@ -285,9 +288,9 @@ def features(span: Span) -> list[int]:
     return [zlib.crc32(f"{span.family}|{n}".encode()) % BUCKETS for n in names] + [BUCKETS]
 
 
-def train_classifier(rows: list[list[int]], targets: np.ndarray, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-5) -> np.ndarray:
-    """Softmax regression on sparse binary features with soft targets, by AdaGrad on the whole sample."""
-    k = targets.shape[1]
+def train_classifier(rows: list[list[int]], targets: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-5) -> np.ndarray:
+    """Softmax regression on sparse binary features with soft targets, by AdaGrad on the whole sample; ``weight`` counts equal rows."""
+    k, weight = targets.shape[1], weight[:, None] / weight.sum()
     w, seen = np.zeros((BUCKETS + 1, k)), np.full((BUCKETS + 1, k), 1e-8)
     width = max(map(len, rows))
     index = np.full((len(rows), width), BUCKETS + 1, np.int64)
@@ -298,7 +301,7 @@ def train_classifier(rows: list[list[int]], targets: np.ndarray, rounds: int = 3
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        g = (p - targets) / len(rows)
+        g = (p - targets) * weight
         grad = np.zeros((BUCKETS + 2, k))
         for c in range(k):
             grad[:, c] = np.bincount(index.ravel(), np.repeat(g[:, c], width), BUCKETS + 2)
@@ -392,8 +395,9 @@ def learn(df: DataFrame, text: str) -> PrivateModel:
         if not rows:
             weights.append(None)
             continue
-        post = model.posterior(np.array([r["votes"] for r in rows], np.int64))
-        weights.append(train_classifier([r["feats"] for r in rows], post))
+        same = Counter((tuple(r["votes"]), tuple(r["feats"])) for r in rows)
+        post = model.posterior(np.array([v for v, _ in same], np.int64))
+        weights.append(train_classifier([list(x) for _, x in same], post, np.array(list(same.values()), float)))
     return PrivateModel(labels, weights)
 
 
