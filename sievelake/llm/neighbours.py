@@ -25,7 +25,7 @@ class KnnParams:
 
     The index (centroids) is fitted on at most ``sample`` vectors, all vectors are indexed. ``error`` scales the bound of the estimate: 1.9 misses about
     one true neighbour in thousands, 3.0 practically none. There are as many cells as the root of the number of vectors, but of at least ``least_cell`` vectors on average, so that small collections are
-    searched whole; cells of more than ``block`` vectors are searched in blocks of queries.
+    searched whole; cells are searched in blocks of at most ``block`` queries.
     """
 
     dim: int = 128
@@ -43,6 +43,10 @@ class KnnParams:
     seed: int = 7
 
 
+#: Estimates a worker holds at a time; bounds its memory only.
+CELLS_AT_ONCE = 4_000_000
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -130,8 +134,9 @@ def search_cell(home: np.ndarray, x: np.ndarray, ids: list[list[str]], centre: n
     codes = BitCodes.of(x, centre, turn)
     more = np.array([len(i) for i in ids])
     least = p.min_similarity - 10.0**-p.decimals
-    for at in range(0, len(home), p.block):
-        rows = home[at : at + p.block]
+    step = max(16, min(p.block, CELLS_AT_ONCE // max(len(x), 1)))
+    for at in range(0, len(home), step):
+        rows = home[at : at + step]
         est, bound = codes.estimate(x[rows], centre, turn, p.error)
         low = est - bound
         # k + 1 classes hold k ids beside the row's own: what can't reach the (k+1)-th lower bound is out
@@ -140,8 +145,8 @@ def search_cell(home: np.ndarray, x: np.ndarray, ids: list[list[str]], centre: n
             floor = np.maximum(floor, np.partition(low, -(p.k + 1), axis=1)[:, -(p.k + 1)])
         qi, di = np.nonzero(est + bound >= floor[:, None] - 2 * 10.0**-p.decimals)
         exact = np.empty(len(qi))
-        for s in range(0, len(qi), 100_000):
-            exact[s : s + 100_000] = np.einsum("ij,ij->i", x[rows[qi[s : s + 100_000]]], x[di[s : s + 100_000]])
+        for s in range(0, len(qi), 20_000):
+            exact[s : s + 20_000] = np.einsum("ij,ij->i", x[rows[qi[s : s + 20_000]]], x[di[s : s + 20_000]])
         exact = np.round(exact, p.decimals)
         keep = exact >= p.min_similarity
         qi, di, exact = qi[keep], di[keep], exact[keep]
