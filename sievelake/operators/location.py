@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.geo import haversine_km
+from sievelake.operators.index import small_side
 
 #: Fixed values of the prior: weight of the same location, of nearness, its reach, the floor, and the distance of the unknown.
 SAME, NEAR, REACH_KM, FLOOR, UNKNOWN_KM = 0.5, 0.05, 30.0, 1e-4, 5000.0
+#: Most distinct item locations of a corpus (64 bytes each in the broadcast).
+MAX_LOCATIONS = 200_000
 
 
 def conditional(clicks: DataFrame, search: str = "search_location_id", item: str = "item_location_id") -> DataFrame:
@@ -39,12 +42,16 @@ def log_prior(p: Column, same: Column, distance: Column) -> Column:
 def location_table(searches: DataFrame, corpus_locations: DataFrame, shares: DataFrame, centres: DataFrame) -> DataFrame:
     """(s_loc, item_loc, loc_p, loc_same, loc_dist, loc_logp) for each search location and each location of the corpus.
 
-    Both sides are distinct location ids, of which there are as many as places, not rows.
+    Both sides are distinct location ids, of which there are as many as places, not rows; the count of the second is checked
+    against MAX_LOCATIONS, since every search location meets each of them.
     """
     at = lambda df, key, a: df.select(F.col(key).alias(a)).where(F.col(a).isNotNull()).distinct().join(
-        F.broadcast(centres.select(F.col("location").alias(a), F.col("lat").alias(f"{a}_lat"), F.col("lon").alias(f"{a}_lon"))), a, "left"
+        small_side(centres.select(F.col("location").alias(a), F.col("lat").alias(f"{a}_lat"), F.col("lon").alias(f"{a}_lon"))), a, "left"
     )
-    pairs = at(searches, "search_location_id", "s_loc").join(at(corpus_locations, "item_location_id", "item_loc").hint("broadcast"), F.lit(True))
+    places = at(corpus_locations, "item_location_id", "item_loc")
+    if places.limit(MAX_LOCATIONS + 1).count() > MAX_LOCATIONS:
+        raise ValueError(f"over {MAX_LOCATIONS} item locations")
+    pairs = at(searches, "search_location_id", "s_loc").join(F.broadcast(places), F.lit(True))
     p = shares.select(F.col("search_location_id").alias("s_loc"), F.col("item_location_id").alias("item_loc"), F.col("p").alias("loc_p"))
     km = haversine_km(F.col("s_loc_lat"), F.col("s_loc_lon"), F.col("item_loc_lat"), F.col("item_loc_lon"))
     same = F.col("s_loc") == F.col("item_loc")

@@ -23,8 +23,8 @@ from sievelake.staging import stage
 JOIN_LEVELS = (0, 4, 8, 11)
 #: Cells of a cover; refining stops there or at MAX_LEVEL. Bounds the cover, not the result.
 COVER_CELLS, MAX_LEVEL = 96, 16
-#: Ranges that may be broadcast (about 60 bytes each); more are joined by shuffle with salted hot cells.
-BROADCAST_RANGES = 250_000
+#: Ranges that may be broadcast (under 1 kB each with a polygon's edges); more are joined by shuffle with salted hot cells.
+BROADCAST_RANGES = 100_000
 SALTS = 16
 
 
