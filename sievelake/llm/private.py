@@ -190,7 +190,7 @@ ALLOWED = {0: (NONE, EMAIL), 1: (NONE, PHONE, IDENTITY), 2: (NONE, ADDRESS), 3:
 def propose(text: str) -> list[Span]:
     """Candidate spans with votes and marks (features of form and context)."""
     out: list[Span] = []
-    taken: list[tuple[int, int]] = []
+    taken, in_street = bytearray(len(text)), bytearray(len(text))
 
     def add(family: int, a: int, b: int, votes: tuple[int, ...], left: list[str], *marks: str) -> None:
         tail = text[b : b + 2]
@@ -199,18 +199,18 @@ def propose(text: str) -> list[Span]:
     for m in _MAIL.finditer(text) if _AT.search(text) else ():
         left = _left_words(text, m.start())
         add(0, m.start(), m.end(), _mail_votes(text, m.start(), m.end(), left), left)
-        taken.append(m.span())
+        taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     streets = [m.span() for rx in (_STREET, _STREET_LATIN) for m in rx.finditer(text)]
     for a, b in streets:
         left = _left_words(text, a)
         add(2, a, b, _street_votes(text, a, b, left), left)
-    seen: set[tuple[int, int]] = set()
+        in_street[a:b] = b"\1" * (b - a)
     for rx in (_CALL, _DIGITS):
         for m in rx.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in taken) or any(a < y and x < b for x, y in seen):
+            if taken.find(1, a, b) >= 0:
                 continue
-            seen.add((a, b))
+            taken[a:b] = b"\1" * (b - a)
             left = _left_words(text, a)
             add(1, a, b, _number_votes(text, a, b, left), left, "f=" + re.sub(r"\d", "9", text[a:b])[:18])
     run: list[tuple[int, int, str, str]] = []
@@ -219,14 +219,14 @@ def propose(text: str) -> list[Span]:
         if run:
             gap = text[run[-1][1] : a] if a < 1 << 59 else "#"
             if gap not in (" ", " ", "  ") and not (gap == "" and run[-1][2].endswith(".")) or (a and a < 1 << 59 and text[a - 1].isalnum()):
-                _names(text, run, streets, add)
+                _names(text, run, in_street, add)
                 run = []
         if a < 1 << 59 and not (a and (text[a - 1].isalnum() or text[a - 1] in "@_")) and not (b < len(text) and (text[b].isalpha() and text[b - 1] != "." or text[b] in "@_")):
             run.append((a, b, word, _part(word)))
     return out
 
 
-def _names(text: str, run: list[tuple[int, int, str, str]], streets: list[tuple[int, int]], add) -> None:
+def _names(text: str, run: list[tuple[int, int, str, str]], in_street: bytearray, add) -> None:
     if len(run) < 2:
         return
     for i in range(len(run)):
@@ -239,7 +239,7 @@ def _names(text: str, run: list[tuple[int, int, str, str]], streets: list[tuple[
             latin = part[-1][2].isascii() and part[0][2].isascii()
             left = [run[i - 1][2].lower()] if i else _left_words(text, a)
             before, after = run[i - 1][3] if i else "", run[j][3] if j < len(run) else ""
-            inside = any(a < y and x < b for x, y in streets)
+            inside = in_street.find(1, a, b) >= 0
             add(3, a, b, _person_votes(text, parts, before, after, left, latin, inside), left, "p=" + parts, f"b={before}", f"a={after}", f"latin={latin}", f"in={inside}")
 
 
@@ -327,24 +327,25 @@ class PrivateModel:
         best = int(p.argmax())
         return classes[best], float(p[best])
 
-    def find(self, text: str | None) -> list[tuple[int, int, str]]:
+    def resolve(self, spans: list[Span], size: int) -> list[tuple[int, int, str]]:
         """(start, end, kind) of what is personal, without overlaps: mail and street addresses first, then numbers, then the longest names."""
-        if not text:
-            return []
         memo: dict[tuple, tuple[int, float]] = {}
-        kept: list[tuple[int, int, int]] = []
-        ranked = []
-        for s in propose(text):
+        kept, covered, ranked = [], bytearray(size), []
+        for s in spans:
             key = (s.family, s.votes, s.marks)
             if key not in memo:
                 memo[key] = self.decide(s)
-            c, p = memo[key]
+            c, _ = memo[key]
             if c != NONE:
                 ranked.append(({0: 0, 2: 1, 1: 2, 3: 3}[s.family], -(s.end - s.start), s.start, s.end, c))
         for _, _, a, b, c in sorted(ranked):
-            if all(b <= x or y <= a for x, y, _ in kept):
-                kept.append((a, b, c))
-        return [(a, b, KINDS[c]) for a, b, c in sorted(kept)]
+            if covered.find(1, a, b) < 0:
+                covered[a:b] = b"\1" * (b - a)
+                kept.append((a, b, KINDS[c]))
+        return sorted(kept)
+
+    def find(self, text: str | None) -> list[tuple[int, int, str]]:
+        return self.resolve(propose(text), len(text)) if text else []
 
     def redact(self, text: str | None) -> str | None:
         if text is None:
@@ -354,79 +355,87 @@ class PrivateModel:
         return text
 
 
-def learn(df: DataFrame, text: str) -> PrivateModel:
-    """Label models from the vote patterns of all texts, classifiers from a bounded sample of their spans.
+_SPAN = "struct<family:int,a:int,b:int,votes:array<int>,marks:array<string>,found:string>"
+_SPAN_ARROW = pa.struct([("family", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("votes", pa.list_(pa.int32())), ("marks", pa.list_(pa.string())), ("found", pa.string())])
 
-    Patterns are counted in the tasks; there are as many as combinations of votes, however many texts. Each task also passes on the spans with
-    the smallest hashes, of which TRAIN_SPANS a family are used.
-    """
-    schema = "family int, votes array<int>, feats array<int>, h long, n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import heapq
+def proposals(df: DataFrame, key: str | None, text: str) -> DataFrame:
+    """(key, spans) of the rows whose text has candidate spans, proposed once and written to the shared folder. Without ``key``, spans only."""
+    kept = df.select(*([F.col(f"`{key}`").alias(key)] if key else [F.lit(1).alias("key")]), F.col(f"`{text}`").alias("__text")).where(F.length("__text") > 0)
+    name, kind = kept.columns[0], kept.schema[0].dataType.simpleString()
 
-        counts: Counter = Counter()
-        sample: dict[int, list] = {f: [] for f in LABELERS}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for s in propose(t) if t else ():
-                    counts[s.family, s.votes] += 1
-                    h = zlib.crc32(f"{s.start}|{t[s.start:s.end]}|{len(t)}".encode())
-                    entry = (-h, s.votes, features(s))
-                    if len(sample[s.family]) < TRAIN_SPANS // 4:
-                        heapq.heappush(sample[s.family], entry)
-                    elif entry > sample[s.family][0]:
-                        heapq.heapreplace(sample[s.family], entry)
-        rows = [(f, list(v), None, None, n) for (f, v), n in counts.items()] + [(f, list(v), x, -h, 0) for f, es in sample.items() for h, v, x in es]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()))], names=["family", "votes", "feats", "h", "n"]
-        )
-
-    found = df.select(F.col(f"`{text}`").alias("t")).where(F.length("t") > 0).mapInArrow(run, schema)
-    found = stage(found, "votes")
+            rows, spans = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                if found := propose(t):
+                    rows.append(i)
+                    spans.append([{"family": s.family, "a": s.start, "b": s.end, "votes": s.votes, "marks": s.marks, "found": t[s.start : s.end]} for s in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(spans, pa.list_(_SPAN_ARROW))], names=[name, "spans"])
+
+    return stage(kept.mapInArrow(run, f"`{name}` {kind}, spans array<{_SPAN}>"), "spans")
+
+
+def _spans(cell: list[dict]) -> list[Span]:
+    return [Span(s["family"], s["a"], s["b"], tuple(s["votes"]), tuple(s["marks"])) for s in cell]
+
+
+def learn(df: DataFrame, text: str) -> PrivateModel:
+    return learn_from(proposals(df, None, text))
+
+
+def learn_from(proposed: DataFrame) -> PrivateModel:
+    """Label models from the vote patterns of all proposed spans, classifiers from a bounded sample of them.
+
+    Patterns are counted where the spans are; there are as many as combinations of votes, however many texts. Training takes the TRAIN_SPANS
+    spans of a family with the smallest hashes.
+    """
+    spans = proposed.select(F.explode("spans").alias("s")).select("s.*")
     patterns: dict[int, dict] = {f: {} for f in LABELERS}
-    for r in found.where("feats is null").groupBy("family", "votes").agg(F.sum("n").alias("n")).collect():
+    for r in spans.groupBy("family", "votes").agg(F.count(F.lit(1)).alias("n")).collect():
         patterns[r["family"]][tuple(r["votes"])] = r["n"]
     labels, weights = [], []
     for f, n in LABELERS.items():
         model = fit_labels(patterns[f], ALLOWED[f], n)
         labels.append(model)
-        rows = found.where((F.col("family") == f) & F.col("feats").isNotNull()).orderBy("h", "votes", "feats").limit(TRAIN_SPANS).select("votes", "feats").collect()
+        rows = spans.where(F.col("family") == f).orderBy(F.xxhash64("a", "b", "found", "marks"), "votes", "marks").limit(TRAIN_SPANS).select("votes", "marks").collect()
         if not rows:
             weights.append(None)
             continue
-        same = Counter((tuple(r["votes"]), tuple(r["feats"])) for r in rows)
+        same = Counter((tuple(r["votes"]), tuple(r["marks"])) for r in rows)
         post = model.posterior(np.array([v for v, _ in same], np.int64))
-        weights.append(train_classifier([list(x) for _, x in same], post, np.array(list(same.values()), float)))
+        weights.append(train_classifier([features(Span(f, 0, 0, v, m)) for v, m in same], post, np.array(list(same.values()), float)))
     return PrivateModel(labels, weights)
 
 
 def find_private(df: DataFrame, key: str, text: str, model: PrivateModel | None = None) -> DataFrame:
     """(key, kind, found_text, span_start, span_end) of every finding; offsets in code points.
 
-    Null and empty texts give no rows; repeated rows each give theirs; texts are read whole; only two columns are read; no shuffle but that of the vote counts.
+    Null and empty texts give no rows; repeated rows each give theirs; texts are read whole and once; only two columns are read; no shuffle but those of the
+    vote counts and of the bounded training sample.
     """
     outs = ("kind", "found_text", "span_start", "span_end")
-    if key in outs:
+    if key in outs or key == "spans":
         raise ValueError("the key may not have an output's name")
-    shared = df.sparkSession.sparkContext.broadcast(model or learn(df, text))
-    kept = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text")).where(F.length("__text") > 0)
-    kind = kept.schema[0].dataType.simpleString()
+    proposed = proposals(df, key, text)
+    shared = df.sparkSession.sparkContext.broadcast(model or learn_from(proposed))
+    kind = proposed.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             rows, cols = [], ([], [], [], [])
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for a, b, k in m.find(t):
+            for i, cell in enumerate(batch.column(1).to_pylist()):
+                text_of = {(s["a"], s["b"]): s["found"] for s in cell}
+                for a, b, k in m.resolve(_spans(cell), max(s["b"] for s in cell)):
                     rows.append(i)
-                    for c, v in zip(cols, (k, t[a:b], a, b)):
+                    for c, v in zip(cols, (k, text_of[a, b], a, b)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=[key, *outs]
             )
 
-    return kept.mapInArrow(run, f"`{key}` {kind}, kind string, found_text string, span_start int, span_end int")
+    return proposed.mapInArrow(run, f"`{key}` {kind}, kind string, found_text string, span_start int, span_end int")
 
 
 def redact(df: DataFrame, text: str, model: PrivateModel | None = None, *, out: str = "redacted") -> DataFrame:
