@@ -52,15 +52,19 @@ def microcat_source(queries: DataFrame, pmc: DataFrame, items: DataFrame, locati
     """mc: the best items by category share, location, reviews and filter, for queries with any share.
 
     The score sees an item only through category, location and reviews (and its filter bonus), and rises with reviews. So
-    the best 50 by reviews of each (category, location) stand for their group, and items with a filter bonus, which are pairs of their own, are added.
+    the best 50 by reviews of each (category, location) stand for their group, of these the best 50 per search location and category for
+    all queries from there, and items with a filter bonus, which are pairs of their own, are added.
     """
     k = K["mc"]
     slim = items.select("item_id", "item_microcat_id", F.col("item_location_id").alias("item_loc"), "reviews")
     groups = top_k(slim, ["item_microcat_id", "item_loc"], "reviews", "item_id", k)
     asked = queries.select(query, F.col("search_location_id").alias("s_loc")).join(pmc.select(query).distinct(), query, "left_semi")
-    reach = asked.join(small_side(locations.select("s_loc", "item_loc", "loc_logp")), "s_loc")
+    places = small_side(locations.select("s_loc", "item_loc", "loc_logp").join(asked.select("s_loc").distinct(), "s_loc", "left_semi"))
+    # what doesn't depend on the query's shares is cut once per search location and category, not once per query
+    fixed = groups.join(places, "item_loc").withColumn("__base", LAMBDA * F.col("loc_logp") + REVIEWS * F.col("reviews"))
+    local = top_k(fixed, ["s_loc", "item_microcat_id"], "__base", "item_id", k)
     score = F.log(F.coalesce("pmc", F.lit(0.0)) + 1e-3) + LAMBDA * F.col("loc_logp") + REVIEWS * F.col("reviews")
-    plain = reach.join(groups, "item_loc").join(pmc, [query, "item_microcat_id"], "left").withColumn("__s", F.round(score, 6))
+    plain = asked.join(local, "s_loc").join(pmc, [query, "item_microcat_id"], "left").withColumn("__s", F.round(score, 6))
     best = top_k(plain, [query], "__s", "item_id", k).select(query, "item_id", "__s")
     if bonus is not None:
         lifted = bonus.join(slim, "item_id").join(asked, query).join(small_side(locations.select("s_loc", "item_loc", "loc_logp")), ["s_loc", "item_loc"])
