@@ -54,7 +54,7 @@ NOT_NAME_WORDS = "городу город г улица ул улицу прос
 
 _LABEL = r"(?:[a-zа-яё0-9][a-zа-яё0-9-]*|[A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9-]*)"
 _MAIL = re.compile(
-    rf"[\w.+%-]*\w(?:@| @ |\s*[(\[]\s*(?:собака|at)\s*[)\]]\s*|\s+собака\s+){_LABEL}(?:(?:\.| \. |\s*[(\[]\s*(?:точка|dot)\s*[)\]]\s*|\s+точка\s+){_LABEL})+"
+    rf"(?<![\w.+%-])[\w.+%-]*\w(?:@| @ |\s*[(\[]\s*(?:собака|at)\s*[)\]]\s*|\s+собака\s+){_LABEL}(?:(?:\.| \. |\s*[(\[]\s*(?:точка|dot)\s*[)\]]\s*|\s+точка\s+){_LABEL})+"
 )
 _AT = re.compile(r"@|собака|[(\[]\s*at\s*[)\]]")  # without one of these no mail address can match
 _GLUE = r"(?:\s?[-‑–—/]\s?|\.(?!\s)|\s?\(|\)\s?[-‑–]?\s?|\s{1,2})?"

@@ -32,7 +32,7 @@ THAI = "ก-๛"
 
 _LETTER = rf"(?:[^\W_]|[{SIGNS}])"
 _WORD = re.compile(rf"[^\W_]{_LETTER}*(?:[.'’\-]{_LETTER}+)*")
-_LINK = re.compile(r"(?:https?://|www\.)[^\s«»“”「」()，。！？]+|[\w.+-]+@[\w.-]+\w|[A-Za-z0-9_-]+(?:\.[a-z0-9_-]+)*\.[a-z]{2,}(?:/[^\s«»“”「」()，。！？]*)?")
+_LINK = re.compile(r"(?:https?://|www\.)[^\s«»“”「」()，。！？]+|(?<![\w.+-])[\w.+-]+@[\w.-]+\w|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[a-z0-9_-]+)*\.[a-z]{2,}(?:/[^\s«»“”「」()，。！？]*)?")
 _MARK = re.compile(rf"[{re.escape(MARKS)}]+")
 _GAP = re.compile(r"\s+")
 _EMOJI = re.compile(rf"[ \t ]*[{EMOJI}]*[\U0001f000-\U0001faff☀-➿⭐⭕][{EMOJI}]*")
@@ -287,16 +287,20 @@ class Segmenter:
         """1 inside a quotation or bracket, 2 at its closing sign; one left open at an empty line or the end is none."""
         mark = bytearray(len(text) + 1)
         stack: list[tuple[int, str]] = []
+        awaited: Counter = Counter()  # closing signs that would end something open
         edges = iter([*(a for a, _ in blank), len(text) + 1])
         edge = next(edges)
         for m in re.finditer(r"[«»“”„「」『』()（）\[\]《》‹›\"]", text):
             i, ch = m.start(), m[0]
             while i >= edge:
                 stack.clear()
+                awaited.clear()
                 edge = next(edges)
-            opened = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][1]), -1)
+            opened = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][1]), -1) if awaited[ch] > 0 else -1
             if opened >= 0 and not (ch == "“" and stack[opened][1] == "”"):
                 a = stack[opened][0]
+                for _, ends in stack[opened:]:
+                    awaited.subtract(ends)
                 del stack[opened:]
                 for k in range(a, i):
                     mark[k] = mark[k] or 1
@@ -305,8 +309,10 @@ class Segmenter:
                     mark[i] = 1
             elif ch == '"':
                 stack.append((i, '"'))
+                awaited['"'] += 1
             elif ch in PAIRS:
                 stack.append((i, PAIRS[ch]))
+                awaited.update(PAIRS[ch])
         return mark
 
     def _next_word(self, text: str, at: int) -> tuple[str, str, bool, bool]:
