@@ -462,10 +462,10 @@ def feature_vector_wide(spark, sf):
 
 
 def feature_gain(spark, sf):
-    """Gain shares of a small ranker fitted on the candidates of all queries."""
+    """Gain shares of a ranker fitted on the candidates of all queries."""
     names = ["bm_all", "emb_sim", "loc_logp", *[f"src_{n}" for n in sources.K]]
     data = cands(spark, sf, *names, "label")
-    forest = ranker.train_ranker(data, names, ranker.RankParams(rounds=20, leaves=15))
+    forest = ranker.train_ranker(data, names, ranker.RankParams())
     return spark.createDataFrame(sorted(forest.gains().items()), "feature string, gain_share double")
 
 
@@ -473,7 +473,7 @@ def ranker_score(spark, sf):
     """Candidates scored by a ranker fitted on them."""
     names = ["bm_all", "emb_sim", "loc_logp", *[f"src_{n}" for n in sources.K]]
     data = cands(spark, sf, *names, "label")
-    forest = ranker.train_ranker(data, names, ranker.RankParams(rounds=20, leaves=15))
+    forest = ranker.train_ranker(data, names, ranker.RankParams())
     return ranker.score_candidates(data, forest, out="ranker_score").select("qi", "ci", "ranker_score")
 
 
@@ -481,13 +481,12 @@ def tower_vectors(spark, sf):
     """Query vectors of towers trained on the log."""
     known, log_pairs = pipeline.prepare(table(spark, sf, "benchmark_items"), table(spark, sf, "train"), "log_id", max_chars=None)
     q = prep.prepare_queries(table(spark, sf, "benchmark_queries"))
-    return pipeline.train_vectors(known, log_pairs, q, embed.TowerParams(buckets=1 << 15, dim=32, epochs=2))[1]
+    return pipeline.train_vectors(known, log_pairs, q, embed.TowerParams())[1]
 
 
 def pipeline_answer(spark, sf):
     """The whole pipeline: answers of all benchmark queries in the order of a ranker trained on a split of the log."""
-    towers = embed.TowerParams(buckets=1 << 15, dim=32, epochs=2)
-    return pipeline.answer(table(spark, sf, "benchmark_items"), table(spark, sf, "train"), table(spark, sf, "benchmark_queries"), "log_id", ranking=ranker.RankParams(), towers=towers, max_chars=None)
+    return pipeline.answer(table(spark, sf, "benchmark_items"), table(spark, sf, "train"), table(spark, sf, "benchmark_queries"), "log_id", ranking=ranker.RankParams(), towers=embed.TowerParams(), max_chars=None)
 
 
 QUERIES = {
