@@ -310,6 +310,13 @@ def test_em_finds_the_unreliable_labeler():
 # ---- sentences --------------------------------------------------------------------------------------------------------------------
 
 
+def test_long_words_that_usually_end_sentences_are_no_abbreviations(spark):
+    text = "Am Ende waren alle zufrieden. Der Hof war leer! Der Tag war lang! Im Haus blieb es ruhig, und nebenan auch."
+    df = spark.createDataFrame([(text,)], "text string").withColumn("text", F.explode(F.array_repeat("text", 6000)))
+    model = sentences.learn(df, "text")
+    assert ("latn", "der") in model.starters and ("latn", "zufrieden") not in model.digits
+
+
 @pytest.fixture(scope="module")
 def cutter(spark):
     return sentences.Segmenter(sentences.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "text"))
