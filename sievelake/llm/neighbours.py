@@ -176,13 +176,15 @@ def nearest_neighbours(df: DataFrame, item: str, vector: str, params: KnnParams
     """(item, neighbour, similarity): the k most similar other items of each item, similarity at least ``min_similarity``.
 
     Similarity: cosine in double, rounded; equal ones by smaller neighbour. Rows whose vector is null, of another length, not finite or all
-    zero, or whose item is null, are left out; repeated rows of an item count once (with different vectors: the one with the smallest hash). Equal vectors are one class: they are collapsed where they are read,
+    zero, or whose item is null, are left out; repeated rows of an item count once (with different valid vectors: the one with the smallest hash). Equal vectors are one class: they are collapsed where they are read,
     so that a group of copies of any size reaches its cell as a few rows, and its members are joined to the class's result at the end.
     """
     p, spark = params, df.sparkSession
     rows = df.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{vector}`").cast("array<float>").alias("vec")).where(F.col("item").isNotNull() & (F.size("vec") == p.dim))
-    # items whose rows differ: only hashes move, and the exceptions are joined away
-    marks = rows.select("item", F.xxhash64("vec").alias("h")).groupBy("item").agg(F.min("h").alias("keep"), F.max("h").alias("top"))
+    # items whose valid rows differ: only hashes move, and the exceptions are joined away
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    valid = ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)
+    marks = rows.where(valid).select("item", F.xxhash64("vec").alias("h")).groupBy("item").agg(F.min("h").alias("keep"), F.max("h").alias("top"))
     marks = stage(marks, "vector-hashes")
     twice = marks.where(F.col("keep") != F.col("top")).select(F.col("item").alias("ti"), "keep")
     n_twice, total = twice.count(), marks.count()

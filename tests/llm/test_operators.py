@@ -239,6 +239,14 @@ def test_an_item_with_two_vectors_counts_once(spark):
     assert Counter(r["item"] for r in rows) == {k: 5 for k in items}
 
 
+def test_an_unusable_row_does_not_replace_a_valid_one(spark):
+    items = clouds(4, [6])
+    wrong = [[0.0] * 16] + [[x if i == j else 1.0 for i in range(16)] for j, x in enumerate([float("nan"), float("inf"), -float("inf"), None])]
+    df = table_of(spark, items, *[(k, v) for k in items for v in wrong])
+    rows = nearest_neighbours(df, "item", "vec", KnnParams(dim=16, min_similarity=-1.0, margin=2.0)).collect()
+    assert Counter(r["item"] for r in rows) == {k: 5 for k in items}
+
+
 def test_bounds_of_the_estimate_hold():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((500, 64))
