@@ -31,8 +31,8 @@ def items_union(corpus: DataFrame, log: DataFrame, position: Sequence[Column]) -
     return bench.unionByName(extra.select(*corpus.columns).withColumn("in_bench", F.lit(False)))
 
 
-def with_stems(items: DataFrame, *, max_chars: int | None = 1000) -> DataFrame:
-    """Stemmed title, cleaned parameters and description (its first ``max_chars`` characters, None for all); the raw description is dropped."""
+def with_stems(items: DataFrame, *, max_chars: int | None = None) -> DataFrame:
+    """Stemmed title, cleaned parameters and description (whole, or its first ``max_chars`` characters; the published job takes 1,000); the raw description is dropped."""
     out = items.withColumns(
         {"t_title": stem_text(F.col("item_title_raw")), "t_params": stem_text(clean_params(F.col("item_infm_params_text"))), "t_desc": stem_text(F.col("item_description_raw"), max_chars=max_chars)}
     )
