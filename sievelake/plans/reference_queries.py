@@ -232,35 +232,36 @@ def event_all_in_corpus(spark, sf):
     return split.events_within(pairs(spark, sf), corpus(spark, sf)).select(*split.EVENT_KEY)
 
 
-PARAMS = split.SplitParams(corpus_size=2000, n_texts=100, n_eval=30)
+#: Sizes of the SQL of these queries; the queries named whole_... take the operator's own.
+PARAMS, WHOLE = split.SplitParams(corpus_size=2000, n_texts=100, n_eval=30), split.SplitParams()
 
 
 def md5_bucket_split(spark, sf):
     return split.item_groups(pairs(spark, sf), PARAMS)
 
 
-def sample_exact_n(spark, sf):
-    return split.split_corpus(split.item_groups(pairs(spark, sf), PARAMS), PARAMS)
+def sample_exact_n(spark, sf, p=PARAMS):
+    return split.split_corpus(split.item_groups(pairs(spark, sf), p), p)
 
 
-def validation_events(spark, sf):
-    p, rows = PARAMS, pairs(spark, sf)
+def validation_events(spark, sf, p=PARAMS):
+    rows = pairs(spark, sf)
     chosen = stage(split.split_corpus(split.item_groups(rows, p), p), "val-corpus")
     out = split.validation_queries(rows, chosen, "log_id", p)
     return out.select("query_id", "part", "search_query", "search_location_id", F.array_join("relevant", " ").alias("relevant"))
 
 
-def anti_join_fit(spark, sf):
+def anti_join_fit(spark, sf, p=PARAMS):
     """Log rows that remain to learn from: no new items, no validation events."""
-    p, rows = PARAMS, pairs(spark, sf)
+    rows = pairs(spark, sf)
     groups = split.item_groups(rows, p)
     chosen = stage(split.split_corpus(groups, p), "val-corpus")
     val = stage(split.validation_queries(rows, chosen, "log_id", p), "val-queries")
     return split.fit_rows(rows, groups, val).select("log_id", "item_id")
 
 
-def split_leakage(spark, sf):
-    p, rows = PARAMS, pairs(spark, sf)
+def split_leakage(spark, sf, p=PARAMS):
+    rows = pairs(spark, sf)
     groups = split.item_groups(rows, p)
     chosen = stage(split.split_corpus(groups, p), "val-corpus")
     val = stage(split.validation_queries(rows, chosen, "log_id", p), "val-queries")
@@ -268,6 +269,22 @@ def split_leakage(spark, sf):
     return out.select(F.round("seen_texts", 6).alias("seen_texts"), F.round("seen_items", 6).alias("seen_items"))
 
 
+def whole_sample_exact_n(spark, sf):
+    return sample_exact_n(spark, sf, WHOLE)
+
+
+def whole_validation_events(spark, sf):
+    return validation_events(spark, sf, WHOLE)
+
+
+def whole_anti_join_fit(spark, sf):
+    return anti_join_fit(spark, sf, WHOLE)
+
+
+def whole_split_leakage(spark, sf):
+    return split_leakage(spark, sf, WHOLE)
+
+
 # ---- location and filters ---------------------------------------------------------------------------------------------------------
 
 
@@ -496,6 +513,7 @@ QUERIES = {
         term_frequency, doc_frequency, doc_length_avg, bm25_idf, bm25_postings, bm25_topk, bm25_title_weighted, idf_coverage, tfidf_l2,
         query_neighbors, log_profiles, query_profile, term_translation, query_translation, microcat_distribution, item_history, history_topk,
         first_by_position, union_precedence, ordered_distinct_list, event_all_in_corpus, md5_bucket_split, sample_exact_n, validation_events, anti_join_fit, split_leakage,
+        whole_sample_exact_n, whole_validation_events, whole_anti_join_fit, whole_split_leakage,
         location_conditional, location_median_centroid, haversine_distance, location_log_prior, filter_match_fraction,
         bm25_location_topk, microcat_topk, popular_topk, embedding_topk, embedding_global_max, candidate_union_flags, candidate_lookup_default,
         relative_to_max, rank_min, base_score_rank, label_join, recall_at_k, mean_recall, recall_ceiling, per_source_recall, group_has_positive,
