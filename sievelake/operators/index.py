@@ -1,7 +1,8 @@
 """Inverted index in long form: term counts, BM25 and TF-IDF weights, sparse products and their top-k.
 
-A sparse matrix is a table (row, term, value). Postings are grouped by item, so the sum over a query's terms needs no
-shuffle: the query side is broadcast after its size was counted, and only each task's best rows travel.
+A sparse matrix is a table (row, term, value). Texts are cut into terms once: term counts are staged, then frequencies, weights and products
+read them. The postings of the queries' terms are hashed by item once, so the sum over a query's terms needs no
+further shuffle: the query side is broadcast after its size was counted, and only each task's best rows travel.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.operators.blocks import spread
 from sievelake.operators.windows import top_k
+from sievelake.staging import stage
 
 #: Query terms that may be broadcast (under 100 bytes each).
 BROADCAST_TERMS = 400_000
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``limit`` rows, else to be joined by merge."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+    """``df`` to be broadcast if it has at most ``limit`` rows, else to be joined by merge. It is staged, so that counting it does not run its plan twice."""
+    held = df if hasattr(df, "_staged") else stage(df, "side")
+    return F.broadcast(held) if held.count() <= limit else held.hint("merge")
 
 
 def term_counts(docs: DataFrame, doc: str, terms: Column | str) -> DataFrame:
@@ -58,6 +62,10 @@ class Bm25Index:
     def build(cls, docs: DataFrame, doc: str, terms: Column | str, *, k1: float = 1.2, b: float = 0.75) -> Bm25Index:
         return cls(term_counts(docs, doc, terms), collection_stats(docs, terms), doc, k1, b)
 
+    def staged(self) -> Bm25Index:
+        """The index with its counts written once."""
+        return Bm25Index(stage(self.counts, "postings"), stage(self.stats, "stats"), self.doc, self.k1, self.b)
+
     def idf(self, wanted: DataFrame | None = None) -> DataFrame:
         """(term, df, idf), of the ``wanted`` terms only if given; df stays exact, for it is counted over all documents."""
         counts = self.counts if wanted is None else self.counts.join(wanted.select("term"), "term", "left_semi")
@@ -74,11 +82,11 @@ class Bm25Index:
     def scores(self, queries: DataFrame, query: str, *, value: str | None = None) -> DataFrame:
         """(query, doc, score, matched_idf) for all pairs with a common term. ``queries`` has (query, term), distinct, or (query, term, ``value``).
 
-        The queries' terms prune the postings before weights are computed; sums by (query, doc) find their rows in one place already.
+        The queries' terms prune the postings before anything moves; those left are hashed by document, and sums by (query, doc) find their rows in one place.
         """
-        q = queries.select(query, "term", (F.lit(1.0) if value is None else F.col(value)).alias("qv"))
+        q = stage(queries.select(query, "term", (F.lit(1.0) if value is None else F.col(value)).alias("qv")), "query-terms")
         wanted = small_side(q.select("term").distinct())
-        weighted = self.postings(wanted)
+        weighted = spread(self.postings(wanted), self.doc)
         pairs = weighted.join(small_side(q), "term")
         return pairs.groupBy(query, self.doc).agg(F.sum(F.col("qv") * F.col("weight")).alias("score"), F.sum("idf").alias("matched_idf"))
 
@@ -98,12 +106,12 @@ def tfidf(docs: DataFrame, doc: str, terms: Column | str, *, min_df: int = 2, vo
 
     Terms in fewer than ``min_df`` documents are dropped before the length is taken. With a ``vocabulary`` (term, idf) of an earlier call its terms and idf are used.
     """
-    counts = term_counts(docs, doc, terms)
+    counts = stage(term_counts(spread(docs, doc), doc, terms), "grams")
     if vocabulary is None:
         n = docs.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
         vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-        vocabulary = vocabulary.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    raw = counts.join(vocabulary, "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+        vocabulary = stage(vocabulary.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "vocabulary")
+    raw = counts.join(small_side(vocabulary), "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return raw.withColumn("__length", length).select(doc, "term", (F.col("w") / F.col("__length")).alias("weight")), vocabulary
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.geo import haversine_km
 from sievelake.operators.index import small_side
+from sievelake.operators.spatial import points_in_regions
+from sievelake.staging import stage
 
 #: Fixed values of the prior: weight of the same location, of nearness, its reach, the floor, and the distance of the unknown.
 SAME, NEAR, REACH_KM, FLOOR, UNKNOWN_KM = 0.5, 0.05, 30.0, 1e-4, 5000.0
-#: Most distinct item locations of a corpus (64 bytes each in the broadcast).
-MAX_LOCATIONS = 200_000
+#: Beyond this distance nearness adds less than 2e-12 to the logarithm of the floor.
+NEAR_KM = 1_000.0
+LOWEST = math.log(FLOOR)
 
 
 def conditional(clicks: DataFrame, search: str = "search_location_id", item: str = "item_location_id") -> DataFrame:
@@ -39,22 +45,38 @@ def log_prior(p: Column, same: Column, distance: Column) -> Column:
     return F.log(F.greatest(F.coalesce(p, F.lit(0.0)), F.when(same, SAME).otherwise(0.0), near) + FLOOR)
 
 
-def location_table(searches: DataFrame, corpus_locations: DataFrame, shares: DataFrame, centres: DataFrame) -> DataFrame:
-    """(s_loc, item_loc, loc_p, loc_same, loc_dist, loc_logp) for each search location and each location of the corpus.
+@dataclass
+class Prior:
+    """What the prior is made of: shares (search_location_id, item_location_id, p) from the log and centres (location, lat, lon).
 
-    Both sides are distinct location ids, of which there are as many as places, not rows; the count of the second is checked
-    against MAX_LOCATIONS, since every search location meets each of them.
+    Pairs of locations are never enumerated: ``attach`` computes the prior of given pairs, ``near`` lists those above the floor.
     """
-    at = lambda df, key, a: df.select(F.col(key).alias(a)).where(F.col(a).isNotNull()).distinct().join(
-        small_side(centres.select(F.col("location").alias(a), F.col("lat").alias(f"{a}_lat"), F.col("lon").alias(f"{a}_lon"))), a, "left"
-    )
-    places = at(corpus_locations, "item_location_id", "item_loc")
-    if places.limit(MAX_LOCATIONS + 1).count() > MAX_LOCATIONS:
-        raise ValueError(f"over {MAX_LOCATIONS} item locations")
-    pairs = at(searches, "search_location_id", "s_loc").join(F.broadcast(places), F.lit(True))
-    p = shares.select(F.col("search_location_id").alias("s_loc"), F.col("item_location_id").alias("item_loc"), F.col("p").alias("loc_p"))
-    km = haversine_km(F.col("s_loc_lat"), F.col("s_loc_lon"), F.col("item_loc_lat"), F.col("item_loc_lon"))
-    same = F.col("s_loc") == F.col("item_loc")
-    out = pairs.join(p, ["s_loc", "item_loc"], "left").withColumn("loc_p", F.coalesce("loc_p", F.lit(0.0)))
-    out = out.withColumn("loc_dist", F.coalesce(km, F.lit(UNKNOWN_KM))).withColumn("loc_same", same.cast("double"))
-    return out.select("s_loc", "item_loc", "loc_p", "loc_same", "loc_dist", log_prior(F.col("loc_p"), same, F.col("loc_dist")).alias("loc_logp"))
+
+    shares: DataFrame
+    centres: DataFrame
+
+    def attach(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (s_loc, item_loc, ...) with loc_p, loc_same, loc_dist and loc_logp. A null location is far from everything and has the floor."""
+        at = lambda a: small_side(self.centres.select(F.col("location").alias(a), F.struct("lat", "lon").alias(f"__{a}")))
+        p = small_side(self.shares.select(F.col("search_location_id").alias("s_loc"), F.col("item_location_id").alias("item_loc"), F.col("p").alias("loc_p")))
+        out = pairs.join(at("s_loc"), "s_loc", "left").join(at("item_loc"), "item_loc", "left").join(p, ["s_loc", "item_loc"], "left")
+        km = haversine_km(F.col("__s_loc.lat"), F.col("__s_loc.lon"), F.col("__item_loc.lat"), F.col("__item_loc.lon"))
+        same = F.coalesce(F.col("s_loc") == F.col("item_loc"), F.lit(False))
+        out = out.withColumns({"loc_p": F.coalesce("loc_p", F.lit(0.0)), "loc_same": same.cast("double"), "loc_dist": F.coalesce(km, F.lit(UNKNOWN_KM))})
+        return out.withColumn("loc_logp", log_prior(F.col("loc_p"), same, F.col("loc_dist"))).drop("__s_loc", "__item_loc")
+
+    def near(self, searches: DataFrame, items: DataFrame, search: str = "search_location_id", item: str = "item_location_id") -> DataFrame:
+        """(s_loc, item_loc, loc_p, loc_same, loc_dist, loc_logp) of the pairs above the floor: clicked in the log, equal, or within NEAR_KM.
+
+        Points within reach are found by cells of a space-filling curve, as any points near others.
+        """
+        asked = stage(searches.select(F.col(search).cast("long").alias("s_loc")).where(F.col("s_loc").isNotNull()).distinct(), "search-places")
+        places = stage(items.select(F.col(item).cast("long").alias("item_loc")).where(F.col("item_loc").isNotNull()).distinct(), "item-places")
+        at = lambda df, a: df.join(small_side(self.centres.select(F.col("location").alias(a), "lat", "lon")), a)
+        no_ring = F.lit(None).cast("array<double>")
+        discs = at(asked, "s_loc").select(F.col("s_loc").alias("place"), F.col("lat").alias("disc_lat"), F.col("lon").alias("disc_lon"), F.lit(NEAR_KM).alias("disc_km"), no_ring.alias("ring_lat"), no_ring.alias("ring_lon"))
+        close = points_in_regions(at(places, "item_loc"), "lat", "lon", discs, place="s_loc").select("s_loc", "item_loc")
+        logged = self.shares.select(F.col("search_location_id").alias("s_loc"), F.col("item_location_id").alias("item_loc"))
+        logged = logged.join(small_side(asked), "s_loc", "left_semi").join(small_side(places), "item_loc", "left_semi").select("s_loc", "item_loc")
+        equal = asked.join(places, F.col("s_loc") == F.col("item_loc")).select("s_loc", "item_loc")
+        return self.attach(close.unionByName(logged).unionByName(equal).distinct())

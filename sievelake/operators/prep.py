@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.functions.text import clean_params, stem_text
 from sievelake.operators.windows import first_by
 
+#: Fixed names of the input schema.
 ITEM_COLS = [
     "item_id", "item_title_raw", "item_description_raw", "item_infm_params_text", "item_category_id", "item_microcat_id", "item_price", "item_rating",
     "item_rating_reviews_count", "item_location_id", "item_latitude", "item_longitude", "item_is_phone_hidden", "item_is_message_forbidden",

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import char_ngrams
-from sievelake.operators.index import small_side, sparse_product, tfidf
+from sievelake.operators.blocks import sparse_neighbours
+from sievelake.operators.index import tfidf
 from sievelake.operators.windows import first_by, row_shares, top_k
+from sievelake.staging import stage
 
+#: Query texts compared in one block (about 100 n-grams of 20 bytes each).
+TEXT_BLOCK = 8_192
 NEIGHBOURS, MIN_SIM, PROFILE_TERMS, TRANSLATIONS, EXACT = 30, 0.25, 30, 50, 0.99
 
 
@@ -19,15 +23,16 @@ def log_texts(log: DataFrame, text: str = "qn") -> DataFrame:
 def neighbours(queries: DataFrame, log: DataFrame, query: str = "qi", text: str = "qn", *, k: int = NEIGHBOURS, min_sim: float = MIN_SIM, decimals: int = 6) -> DataFrame:
     """(query, qn, sim): the k most similar log texts of each query by TF-IDF of character n-grams, similarity at least ``min_sim``.
 
-    The same text asked by several queries is compared once.
+    The same text asked by several queries is compared once. Vectors meet as blocks of queries in broadcast with the texts where they are: no n-gram is a join key,
+    so none is hot, and only the best of each task travel.
     """
     known = log_texts(log).withColumnRenamed("qn", "log_text")
     weights, vocabulary = tfidf(known, "log_text", char_ngrams(F.col("log_text")))
-    asked = queries.select(F.col(text).alias("asked")).distinct()
+    asked = stage(queries.select(F.col(text).alias("asked")).distinct(), "asked")
     mine, _ = tfidf(asked, "asked", char_ngrams(F.col("asked")), vocabulary=vocabulary)
-    mine = small_side(mine.withColumnRenamed("weight", "value"))
-    sims = sparse_product(mine, weights, "asked", "log_text").withColumn("sim", F.round("value", decimals)).where(F.col("sim") >= min_sim)
-    best = top_k(sims, ["asked"], "sim", "log_text", k)
+    rows = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("v")).select(key, F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
+    found = sparse_neighbours(rows(mine, "asked"), rows(weights, "log_text"), "asked", "log_text", k, least=min_sim, size=TEXT_BLOCK, decimals=decimals)
+    best = top_k(found, ["asked"], "sim", "log_text", k)
     return queries.select(query, F.col(text).alias("asked")).join(best, "asked").select(query, F.col("log_text").alias("qn"), "sim")
 
 

@@ -35,8 +35,8 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def index(spark: SparkSession, sf: str, kind: str = "all") -> Bm25Index:
     if kind == "title":
-        return Bm25Index.build(corpus(spark, sf, "item_title_raw"), "item_id", X.tokens(F.col("item_title_raw")), b=0.5)
-    return Bm25Index.build(corpus(spark, sf, *TEXTS), "item_id", all_terms())
+        return Bm25Index.build(corpus(spark, sf, "item_title_raw"), "item_id", X.tokens(F.col("item_title_raw")), b=0.5).staged()
+    return Bm25Index.build(corpus(spark, sf, *TEXTS), "item_id", all_terms()).staged()
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,8 +289,8 @@ def whole_split_leakage(spark, sf):
 
 
 def placed(spark, sf) -> tuple[DataFrame, DataFrame]:
-    items = known_items(spark, sf, "item_location_id", "item_latitude", "item_longitude")
-    return items, table(spark, sf, "train", ["search_location_id", "item_id"]).join(items, "item_id")
+    items = stage(known_items(spark, sf, "item_location_id", "item_latitude", "item_longitude"), "placed-items")
+    return items, stage(table(spark, sf, "train", ["search_location_id", "item_id"]).join(items, "item_id"), "placed-clicks")
 
 
 def location_conditional(spark, sf):
@@ -309,21 +309,31 @@ def haversine_distance(spark, sf):
     return out.select("item_id", F.round(haversine_km(F.col("item_latitude"), F.col("item_longitude"), F.col("lat"), F.col("lon")), 4).alias("km"))
 
 
-def priors(spark, sf) -> DataFrame:
+def prior(spark, sf) -> location.Prior:
     items, clicks = placed(spark, sf)
-    q = table(spark, sf, "benchmark_queries", ["search_location_id"])
-    return location.location_table(q, corpus(spark, sf, "item_location_id"), location.conditional(clicks), stage(location.centroids(items, clicks), "centres"))
+    return location.Prior(stage(location.conditional(clicks), "loc-p"), stage(location.centroids(items, clicks), "centres"))
+
+
+def near_places(spark, sf, p: location.Prior | None = None) -> DataFrame:
+    return stage((p or prior(spark, sf)).near(table(spark, sf, "benchmark_queries", ["search_location_id"]), corpus(spark, sf, "item_location_id")), "near-places")
 
 
 def location_log_prior(spark, sf):
-    return priors(spark, sf).select("s_loc", "item_loc", F.round("loc_dist", 4).alias("loc_dist"), F.round("loc_logp", 6).alias("loc_logp"))
+    """The prior of all pairs of a search and an item location above its floor: clicked, equal, or within reach. All other pairs have the floor, ln 1e-4."""
+    return near_places(spark, sf).select("s_loc", "item_loc", F.round("loc_dist", 4).alias("loc_dist"), F.round("loc_logp", 6).alias("loc_logp"))
+
+
+def values_of_items(spark, sf) -> DataFrame:
+    values = filters.known_values(table(spark, sf, "train", ["search_infm_params_text"]))
+    return filters.item_values(corpus(spark, sf, "item_infm_params_text"), "item_id", "item_infm_params_text", values)
+
+
+def wanted_values(spark, sf) -> DataFrame:
+    return filters.query_values(table(spark, sf, "benchmark_queries", ["qi", "search_infm_params_text"]), "qi", "search_infm_params_text")
 
 
 def filter_match_fraction(spark, sf):
-    values = filters.value_dictionary(table(spark, sf, "train", ["search_infm_params_text"]))
-    have = filters.item_values(corpus(spark, sf, "item_infm_params_text"), "item_id", "item_infm_params_text", values)
-    wanted = filters.query_values(table(spark, sf, "benchmark_queries", ["qi", "search_infm_params_text"]), "qi", "search_infm_params_text")
-    return filters.match_fraction(wanted, have, "qi", "item_id").withColumn("fb", F.round("fb", 6))
+    return filters.match_fraction(wanted_values(spark, sf), values_of_items(spark, sf), "qi", "item_id").withColumn("fb", F.round("fb", 6))
 
 
 # ---- sources ----------------------------------------------------------------------------------------------------------------------
@@ -334,21 +344,80 @@ def numeric_items(spark, sf) -> DataFrame:
     return items.select("item_id", "item_location_id", "item_microcat_id", F.log1p(F.coalesce("item_rating_reviews_count", F.lit(0)).cast("double")).alias("reviews"))
 
 
+def query_sides(spark, sf) -> DataFrame:
+    return stage(sources.query_side(table(spark, sf, "benchmark_queries", ["qi", "search_location_id"]), wanted_values(spark, sf)), "query-sides")
+
+
+def item_sides(spark, sf) -> DataFrame:
+    return stage(sources.item_side(numeric_items(spark, sf), values_of_items(spark, sf)), "item-sides")
+
+
+def in_context(spark, sf, pairs: DataFrame) -> DataFrame:
+    return sources.with_context(pairs, query_sides(spark, sf), item_sides(spark, sf), prior(spark, sf))
+
+
+def src_all(spark, sf):
+    """BM25 of the whole text, twice the log prior of the location and half the matched share of the filters: 200 a query."""
+    return sources.text_source(in_context(spark, sf, index(spark, sf).scores(asked(spark, sf), "qi")), "all").select("qi", "item_id")
+
+
+def src_title(spark, sf):
+    """The same by BM25 of the title, 100 a query."""
+    return sources.text_source(in_context(spark, sf, index(spark, sf, "title").scores(asked(spark, sf), "qi")), "title").select("qi", "item_id")
+
+
+def src_prof(spark, sf):
+    """Titles by the query's profile, 100 a query."""
+    scores = index(spark, sf, "title").scores(query_profile(spark, sf), "qi", value="value")
+    return sources.text_source(in_context(spark, sf, scores), "prof").select("qi", "item_id")
+
+
+def src_tr(spark, sf):
+    """Titles by the translation of the query's terms, 100 a query."""
+    scores = index(spark, sf, "title").scores(query_translation(spark, sf), "qi", value="value")
+    return sources.text_source(in_context(spark, sf, scores), "tr").select("qi", "item_id")
+
+
+def src_hist(spark, sf):
+    """What similar queries clicked, with the prior counted once, 50 a query."""
+    return sources.history_source(in_context(spark, sf, querylog.query_history(near(spark, sf), corpus_clicks(spark, sf)))).select("qi", "item_id")
+
+
+def src_mc(spark, sf):
+    """Items of the query's likely categories near its location, with reviews and filters, 50 a query."""
+    return sources.microcat_source(query_sides(spark, sf), stage(pmc(spark, sf), "pmc"), item_sides(spark, sf), near_places(spark, sf)).select("qi", "item_id")
+
+
+def query_vectors(spark, sf) -> DataFrame:
+    """(qi, embedding): the vector of the item whose number is the query's, since the tables have no query vectors."""
+    return vectors(spark, sf).select(F.col("ci").cast("int").alias("qi"), "embedding").join(table(spark, sf, "benchmark_queries", ["qi"]), "qi")
+
+
+def src_emb(spark, sf):
+    """40 times the cosine, twice the prior and half the filters' share over all items, 100 a query."""
+    ids = table(spark, sf, "emb_items_full", ["ci", "item_id"]).dropDuplicates(["ci"])
+    items = vectors(spark, sf).join(ids, "ci").select("item_id", "embedding").join(item_sides(spark, sf), "item_id")
+    q = query_vectors(spark, sf).join(query_sides(spark, sf), "qi")
+    return sources.vector_scores(q, items, "qi", "item_id", "embedding", sources.K["emb"], near=near_places(spark, sf), filtered=True, alpha=sources.ALPHA).select("qi", "item_id", "total")
+
+
 def bm25_location_topk(spark, sf):
-    """The source 'all': BM25 and twice the log prior of the item's location."""
-    q = table(spark, sf, "benchmark_queries", ["qi", "search_location_id"])
-    scores = sources.with_context(index(spark, sf).scores(asked(spark, sf), "qi"), q, corpus(spark, sf, "item_location_id"), stage(priors(spark, sf), "places"), None)
-    return sources.text_source(scores.where(F.col("loc_logp").isNotNull()), "all").select("qi", "item_id")
+    """BM25 and twice the log prior of the item's location, without filters."""
+    q = sources.query_side(table(spark, sf, "benchmark_queries", ["qi", "search_location_id"]), None)
+    scores = sources.with_context(index(spark, sf).scores(asked(spark, sf), "qi"), q, sources.item_side(numeric_items(spark, sf), None), prior(spark, sf))
+    return sources.text_source(scores, "all").select("qi", "item_id")
 
 
 def microcat_topk(spark, sf):
-    q = table(spark, sf, "benchmark_queries", ["qi", "search_location_id"])
-    return sources.microcat_source(q, stage(pmc(spark, sf), "pmc"), stage(numeric_items(spark, sf), "items"), stage(priors(spark, sf), "places"), None).select("qi", "item_id")
+    """The source by categories without filters."""
+    q = sources.query_side(table(spark, sf, "benchmark_queries", ["qi", "search_location_id"]), None)
+    items = stage(sources.item_side(numeric_items(spark, sf), None), "items")
+    return sources.microcat_source(q, stage(pmc(spark, sf), "pmc"), items, near_places(spark, sf)).select("qi", "item_id")
 
 
 def popular_topk(spark, sf):
-    q = table(spark, sf, "benchmark_queries", ["qi", "search_location_id"])
-    return sources.popular_source(q, stage(numeric_items(spark, sf), "items"), stage(priors(spark, sf), "places")).select("qi", "item_id")
+    q = sources.query_side(table(spark, sf, "benchmark_queries", ["qi", "search_location_id"]), None)
+    return sources.popular_source(q, stage(sources.item_side(numeric_items(spark, sf), None), "items"), near_places(spark, sf)).select("qi", "item_id")
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -515,7 +584,7 @@ QUERIES = {
         first_by_position, union_precedence, ordered_distinct_list, event_all_in_corpus, md5_bucket_split, sample_exact_n, validation_events, anti_join_fit, split_leakage,
         whole_sample_exact_n, whole_validation_events, whole_anti_join_fit, whole_split_leakage,
         location_conditional, location_median_centroid, haversine_distance, location_log_prior, filter_match_fraction,
-        bm25_location_topk, microcat_topk, popular_topk, embedding_topk, embedding_global_max, candidate_union_flags, candidate_lookup_default,
+        bm25_location_topk, microcat_topk, popular_topk, src_all, src_title, src_prof, src_tr, src_hist, src_mc, src_emb, embedding_topk, embedding_global_max, candidate_union_flags, candidate_lookup_default,
         relative_to_max, rank_min, base_score_rank, label_join, recall_at_k, mean_recall, recall_ceiling, per_source_recall, group_has_positive,
         answer_string_agg, answer_validation, row_normalize_topk, feature_vector_wide, feature_gain, ranker_score, tower_vectors, pipeline_answer,
     )

@@ -83,7 +83,10 @@ HAV = "2 * 6371.0 * asin(sqrt(least(greatest(pow(sin((radians({b}.lat) - radians
 PRIOR = f"""cond AS (SELECT s, loc, count(*) / sum(count(*)) OVER (PARTITION BY s) p FROM placed WHERE s IS NOT NULL AND loc IS NOT NULL GROUP BY 1, 2), {CENTRES},
 sl AS (SELECT DISTINCT search_location_id s FROM benchmark_queries WHERE search_location_id IS NOT NULL), il AS (SELECT DISTINCT loc FROM corpus WHERE loc IS NOT NULL),
 dist AS (SELECT sl.s, il.loc, coalesce({HAV.format(a='a', b='b')}, 5000.0) km FROM sl CROSS JOIN il LEFT JOIN centres a ON a.loc = sl.s LEFT JOIN centres b ON b.loc = il.loc),
-prior AS (SELECT dist.s, dist.loc, km, ln(greatest(coalesce(p, 0.0), CASE WHEN dist.s = dist.loc THEN 0.5 ELSE 0.0 END, 0.05 * exp(-km / 30.0)) + 1e-4) lp FROM dist LEFT JOIN cond ON cond.s = dist.s AND cond.loc = dist.loc)"""
+prior AS (SELECT dist.s, dist.loc, km, p, ln(greatest(coalesce(p, 0.0), CASE WHEN dist.s = dist.loc THEN 0.5 ELSE 0.0 END, 0.05 * exp(-km / 30.0)) + 1e-4) lp FROM dist LEFT JOIN cond ON cond.s = dist.s AND cond.loc = dist.loc)"""
+#: All pairs of a query and an item with the prior, the floor where a location is null.
+AT = "JOIN benchmark_queries b USING (qi) JOIN corpus c USING (item_id) LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc"
+LP = "coalesce(lp, ln(1e-4))"
 KEY = "search_query, search_location_id, search_infm_params_text, search_category, search_is_delivery_search"
 KEYED = " AND ".join(f"{c} IS NOT NULL" for c in KEY.split(", "))
 
@@ -152,12 +155,12 @@ SQL = {
     "location_conditional": f"WITH {PLACED} SELECT s AS search_location_id, loc AS item_location_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY s), 6) AS p FROM placed WHERE s IS NOT NULL AND loc IS NOT NULL GROUP BY 1, 2",
     "location_median_centroid": f"WITH {PLACED}, {CENTRES} SELECT loc AS location, round(lat, 6) AS lat, round(lon, 6) AS lon, n_points FROM centres",
     "haversine_distance": f"WITH {PLACED}, {CENTRES} SELECT k.item_id, round({HAV.format(a='k', b='c')}, 4) AS km FROM known k JOIN centres c USING (loc) WHERE k.lat IS NOT NULL AND k.lon IS NOT NULL",
-    "location_log_prior": f"WITH {PLACED}, {PRIOR} SELECT s AS s_loc, loc AS item_loc, round(km, 4) AS loc_dist, round(lp, 6) AS loc_logp FROM prior",
+    "location_log_prior": f"WITH {PLACED}, {PRIOR} SELECT s AS s_loc, loc AS item_loc, round(km, 4) AS loc_dist, round(lp, 6) AS loc_logp FROM prior WHERE p IS NOT NULL OR s = loc OR km <= 1000",
     "bm25_location_topk": f"WITH {DOCS}, {ASKED}, {PLACED.replace(CORPUS + ',', '')}, {PRIOR}, sc AS (SELECT qi, item_id, sum(w) sc FROM q JOIN post USING (term) GROUP BY 1, 2) "
-    + topk("SELECT sc.qi, sc.item_id, round(sc + 2 * lp, 6) score FROM sc JOIN benchmark_queries b USING (qi) JOIN corpus USING (item_id) JOIN prior ON prior.s = b.search_location_id AND prior.loc = corpus.loc", 200, cols="qi, item_id"),
+    + topk(f"SELECT sc.qi, sc.item_id, round(sc + 2 * {LP}, 6) score FROM sc {AT}", 200, cols="qi, item_id"),
     "microcat_topk": f"WITH {NEAR}, {PLACED}, {SHARES}, {PMC}, {PRIOR}, qs AS (SELECT qi, search_location_id s FROM benchmark_queries WHERE qi IN (SELECT qi FROM pmc)) "
-    + topk("SELECT qs.qi, c.item_id, round(ln(coalesce(pmc.pmc, 0.0) + 1e-3) + 2 * lp + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM qs JOIN prior ON prior.s = qs.s JOIN corpus c ON c.loc = prior.loc LEFT JOIN pmc ON pmc.qi = qs.qi AND pmc.mc = c.mc", 50, cols="qi, item_id"),
-    "popular_topk": f"WITH {PLACED}, {PRIOR} " + topk("SELECT b.qi, c.item_id, round(2 * lp + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM benchmark_queries b JOIN prior ON prior.s = b.search_location_id JOIN corpus c ON c.loc = prior.loc", 50, cols="qi, item_id"),
+    + topk(f"SELECT qs.qi, c.item_id, round(ln(coalesce(pmc.pmc, 0.0) + 1e-3) + 2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM qs CROSS JOIN corpus c LEFT JOIN prior ON prior.s = qs.s AND prior.loc = c.loc LEFT JOIN pmc ON pmc.qi = qs.qi AND pmc.mc = c.mc", 50, cols="qi, item_id"),
+    "popular_topk": f"WITH {PLACED}, {PRIOR} " + topk(f"SELECT b.qi, c.item_id, round(2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM benchmark_queries b CROSS JOIN corpus c LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc", 50, cols="qi, item_id"),
     "embedding_topk": f"WITH {SIM} " + topk("SELECT * FROM s", 100, "sim DESC, ci", "q_ci", "q_ci, ci, sim"),
     "embedding_global_max": f"WITH {SIM} SELECT q_ci, max(sim) AS sim_max FROM s GROUP BY 1",
     "candidate_union_flags": "SELECT qi, ci, " + ", ".join(f"max(CASE WHEN src_{n} = 1 THEN 1 ELSE 0 END)::TINYINT AS src_{n}" for n in SRC) + " FROM candidates GROUP BY 1, 2 HAVING " + " + ".join(f"max(CASE WHEN src_{n} = 1 THEN 1 ELSE 0 END)" for n in SRC) + " > 0",

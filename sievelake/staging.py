@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,19 +45,42 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged = path
+    return back
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within the block belong to it and are deleted when it ends, so a long session does not fill the shared folder."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        mine, _written[before:] = [x for x in _written[before:]], []
+        for owner, path in mine:
+            _delete(owner, path)
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete staged tables that are read no more; frames that are none are passed over."""
+    paths = {f._staged for f in frames if hasattr(f, "_staged")}
+    for owner, path in [x for x in _written if x[1] in paths]:
+        _delete(owner, path)
+    _written[:] = [x for x in _written if x[1] not in paths]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the staged tables of this session; their DataFrames are unusable afterwards."""
-    jvm, left = spark.sparkContext._jvm, []
-    for owner, path in _written:
-        if owner is spark:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        else:
-            left.append((owner, path))
-    _written[:] = left
+    mine = [path for owner, path in _written if owner is spark]
+    _written[:] = [x for x in _written if x[0] is not spark]
+    for path in mine:
+        _delete(spark, path)
 
 
 def _release_all() -> None:
