@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.staging import stage
+
 #: A term in more than one of FREQUENT records is frequent. A record of m distinct terms counts for m in the sum of all document
 #: frequencies, so there are at most FREQUENT times m (on average) such terms, however large the collection.
 FREQUENT = 500
+#: Frequent terms that are broadcast (under 100 bytes each). Where very long records make more of them, the most frequent ones are.
+BROADCAST_STATS = 200_000
 
 
 def words(texts: Sequence[Column], *, least: int = 4) -> Column:
@@ -44,9 +48,11 @@ def term_scores(df: DataFrame, key: str, texts: Sequence[str], *, df_range: tupl
     pairs = once.select("k", F.size("w").cast("long").alias("length"), F.explode("w").alias("term")).groupBy("k", "length", "term").agg(F.count(F.lit(1)).alias("n"))
     size = df.select(F.col(f"`{key}`").alias("k")).where(F.col("k").isNotNull()).groupBy("k").agg(F.lit(1)).groupBy().agg(F.count(F.lit(1)).alias("n_records")).first()
     n_records = size["n_records"]
-    stats = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+    stats = stage(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf")), "term-stats")
     total = stats.groupBy().agg(F.sum("cf").alias("t"))
     cut = max(n_records // FREQUENT, 12)
+    if stats.where(F.col("df") > cut).count() > BROADCAST_STATS:
+        cut = stats.select("df").orderBy(F.desc("df")).limit(BROADCAST_STATS).groupBy().agg(F.min("df").alias("m")).first()["m"]
     frequent = F.broadcast(stats.where(F.col("df") > cut).withColumnRenamed("term", "ft"))
     marked = pairs.join(frequent, F.col("term") == F.col("ft"), "left")
     rare_stats = stats.where(F.col("df") <= cut)

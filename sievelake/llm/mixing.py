@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with capped repeats and reported shares.
 
-Sizes are measured by block: a document's hash puts it into one of at most
-``blocks`` blocks of its source. The plan (how often each block is used) is made of block totals on
-the driver, so what comes there is bounded by sources x blocks. A multivariate-hypergeometric splitting tree then parts the
-exact numbers of drawn blocks among the output shards, a permutation chooses which blocks they are, and documents are shuffled within their shard.
+The unit is a distinct text of a source, so that copies of a text don't add to its uses. Sizes are measured by block: a text's hash
+puts it into one of at most ``blocks`` blocks of its source. The plan (how often each block is used) is made of block totals on
+the driver; it has at most PLAN_ROWS rows. A multivariate-hypergeometric splitting tree parts the
+exact numbers of drawn blocks among the output shards, permutations choose which blocks they are and their order in the shard, and texts are shuffled
+within their block. A text's place is the sum of the blocks before it and its place in the block, so no task ever holds a shard.
 """
 
 from __future__ import annotations
@@ -12,12 +13,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.staging import stage
+
 #: Most sources a mixture may name; with ``blocks`` it bounds the plan.
 MAX_SOURCES = 256
+#: Most rows of a plan, one for each use of a block (under 100 bytes each where it is broadcast). Many sources or repeats get fewer blocks.
+PLAN_ROWS, LEAST_BLOCKS = 400_000, 8
+
+
+def block_of(key: Column, blocks: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks)).cast("int")
 
 
-def block_of(key: Column, blocks: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), key), blocks).cast("int")
+def block_count(targets: dict[str, tuple[float, int]], blocks: int) -> int:
+    """``blocks``, or as many as keep the plan within PLAN_ROWS."""
+    uses = sum(max(r, 1) for _, r in targets.values())
+    most = PLAN_ROWS // max(uses, 1)
+    if most < LEAST_BLOCKS:
+        raise ValueError(f"{uses} repeats of all sources together; a plan of {PLAN_ROWS} uses needs at most {PLAN_ROWS // LEAST_BLOCKS}")
+    return min(blocks, most)
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -77,27 +91,37 @@ def plan_mixture(block_sizes: dict[str, dict[int, int]], targets: dict[str, tupl
 REPORT = "source string, target_share double, planned_share double, actual_share double, tokens long, available_tokens long, mean_repeats double, max_repeats int"
 
 
-def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame, *, shards: int = 16, blocks: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(mixture, report). mixture: (key, source, size, repeat_no, shard, pos), a row for each use of a record; report: shares by source.
+def mix(df: DataFrame, key: str, source: str, text: str, size: str, targets: DataFrame, *, shards: int = 16, blocks: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(mixture, report). mixture: (key, source, size, repeat_no, shard, pos), a row for each use of a text; report: shares by source.
 
-    ``df`` needs a repeatable plan (a staged table): it is read for the sizes and for the mixture. ``targets`` has source, target_share, max_repeats (a fixed small
-    list; null or repeated sources in it are an error). Records of sources without a target or of a null source are not used; records of
-    size 0 or null size come along with their block (null as 0). All copies of equal keys share a block. An empty table gives an empty mixture and a report of zeros.
+    ``text`` is a column that tells texts apart (a digest of the text). Each distinct text of a source is one unit, named by the smallest key among its copies, and is used at most
+    max_repeats times; pos counts from 1 in each shard. ``targets`` has source, target_share, max_repeats (a fixed small
+    list; null or repeated sources in it are an error). Records of sources without a target or of a null source are not used; null texts are one text;
+    texts of size 0 or null size come along with their block (null as 0). An empty table gives an empty mixture and a report of zeros.
     """
     rows = targets.select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()
     names = [r["source"] for r in rows]
     if len(rows) > MAX_SOURCES or None in names or len(set(names)) < len(names):
         raise ValueError("targets must be few, named and distinct")
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in rows}
-    spark = df.sparkSession
-    base = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("z")).where(F.col("s").isin(names) if names else F.lit(False))
-    base = base.withColumn("block", block_of(F.col("k"), F.lit(blocks), seed))
+    blocks, spark = block_count(wanted, blocks), df.sparkSession
+    base = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.col(f"`{text}`").alias("t"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("z"))
+    # copies are combined in the tasks before they are shuffled, so a text with any number of them is no load
+    units = base.where(F.col("s").isin(names) if names else F.lit(False)).groupBy("s", "t").agg(F.min("k").alias("k"), F.max("z").alias("z"))
+    units = stage(units.withColumn("block", block_of(F.col("t"), blocks, seed)).select("k", "s", "z", "block"), "mix-units")
     sizes: dict[str, dict[int, int]] = {}
-    for r in base.groupBy("s", "block").agg(F.sum("z").alias("z")).collect():  # at most sources x blocks rows
+    counts: dict[tuple[str, int], int] = {}
+    for r in units.groupBy("s", "block").agg(F.sum("z").alias("z"), F.count(F.lit(1)).alias("n")).collect():  # at most sources x blocks rows
         sizes.setdefault(r["s"], {})[r["block"]] = r["z"]
+        counts[r["s"], r["block"]] = r["n"]
     chosen, report = plan_mixture(sizes, wanted, shards, seed)
-    plan = spark.createDataFrame(chosen, "ps string, pb int, repeat_no int, shard int")
-    mixed = base.join(F.broadcast(plan), (F.col("s") == F.col("ps")) & (F.col("block") == F.col("pb")))
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "k", "repeat_no"), "k", "repeat_no")
-    mixture = mixed.select(F.col("k").alias(key), F.col("s").alias(source), F.col("z").alias(size), "repeat_no", "shard", F.row_number().over(order).alias("pos"))
+    rng, placed, before = np.random.default_rng(seed + 1), [], [0] * shards
+    for i in rng.permutation(len(chosen)).tolist():
+        s, b, repeat, shard = chosen[i]
+        placed.append((s, b, repeat, shard, before[shard]))
+        before[shard] += counts[s, b]
+    plan = spark.createDataFrame(placed, "ps string, pb int, repeat_no int, shard int, before long")
+    mixed = units.join(F.broadcast(plan), (F.col("s") == F.col("ps")) & (F.col("block") == F.col("pb")))
+    order = Window.partitionBy("s", "block", "repeat_no").orderBy(F.xxhash64(F.lit(seed + 1), "k", "repeat_no"), "k")
+    mixture = mixed.select(F.col("k").alias(key), F.col("s").alias(source), F.col("z").alias(size), "repeat_no", "shard", (F.col("before") + F.row_number().over(order)).alias("pos"))
     return mixture, spark.createDataFrame(report, REPORT)

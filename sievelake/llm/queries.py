@@ -54,10 +54,18 @@ def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     return term_scores(items, "item_id", ["item_title_raw", "item_description_raw"]).withColumn("llr", F.round("llr", 4) + F.lit(0.0))
 
 
+def p4_distinctive(spark: SparkSession, sf: str) -> DataFrame:
+    """The at most 3 terms of each item with the highest positive log-likelihood ratio (ties: smaller term)."""
+    best = Window.partitionBy("item_id").orderBy(F.desc("llr"), F.asc("term"))
+    return p4_scores(spark, sf).where("llr > 0").withColumn("rn", F.row_number().over(best)).where("rn <= 3").select("item_id", "term", "llr")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """The at most 3 best terms of each item among those of 2 to 12 items.
 
-    The terms and their counts come from the operator; the fixed score of this result ranks them.
+    The terms and their counts come from the operator, but this result's fixed score, n ln(N/df), ranks them. It leaves out what the likelihood ratio
+    weighs: the length of the record and how often the term occurs in others; so the ratio itself is not needed here and Catalyst prunes it. The
+    ranking by the ratio is ``p4_distinctive``.
     """
     items = table(spark, sf, "benchmark_items", ["item_id", "item_title_raw", "item_description_raw"])
     scored = term_scores(items, "item_id", ["item_title_raw", "item_description_raw"], df_range=(2, 12))
@@ -81,9 +89,9 @@ def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf, "mix_targets")
     # texts of sources without a target take no part, so they are not encoded
     wanted = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")
-    sizes = encode_corpus(wanted.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text", *vocabulary(), ids="n_tokens", counts_only=True)
-    sized = stage(sizes.select("k.doc_id", "k.source", "n_tokens"), "sizes")
-    return mix(sized, "doc_id", "source", "n_tokens", targets)
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")
+    sizes = encode_corpus(wanted.select(F.struct("doc_id", "source", digest).alias("k"), "text"), "k", "text", *vocabulary(), ids="n_tokens", counts_only=True)
+    return mix(sizes.select("k.doc_id", "k.source", "k.text_md5", "n_tokens"), "doc_id", "source", "text_md5", "n_tokens", targets)
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +110,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found,
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_scores": p4_scores, "p4_distinctive": p4_distinctive, "p6_found": p6_found,
     "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 
@@ -114,6 +122,11 @@ s AS (SELECT term, count(*) df, sum(n) cf FROM n GROUP BY 1),
 len AS (SELECT item_id, sum(n) L FROM n GROUP BY 1),
 tot AS (SELECT (SELECT count(*) FROM one) n_records, (SELECT sum(n) FROM n) T)
 """
+_LLR = """SELECT item_id, term, n, df, n_records, round(CASE WHEN n * T >= L * cf THEN 2 ELSE -2 END * (
+    n * ln(n / (L::DOUBLE * cf / T)) + CASE WHEN cf > n THEN (cf - n) * ln((cf - n) / ((T - L)::DOUBLE * cf / T)) ELSE 0 END
+  + CASE WHEN L > n THEN (L - n) * ln((L - n) / (L::DOUBLE * (T - cf) / T)) ELSE 0 END
+  + CASE WHEN T - L - cf + n > 0 THEN (T - L - cf + n) * ln((T - L - cf + n) / ((T - L)::DOUBLE * (T - cf) / T)) ELSE 0 END), 4) + 0.0 AS llr
+FROM n JOIN s USING (term) JOIN len USING (item_id), tot"""
 SQL = {
     "p2_found": """
 WITH v AS (SELECT item_id, min(embedding::DOUBLE[]) e FROM emb_items_full WHERE len(embedding) = 128
@@ -121,11 +134,8 @@ WITH v AS (SELECT item_id, min(embedding::DOUBLE[]) e FROM emb_items_full WHERE
 s AS (SELECT a.item_id a, b.item_id b, round(list_cosine_similarity(a.e, b.e), 6) s FROM v a JOIN v b ON a.item_id <> b.item_id),
 r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) rn FROM s WHERE s >= 0.8)
 SELECT DISTINCT least(a, b) AS item_a, greatest(a, b) AS item_b FROM r WHERE rn <= 5""",
-    "p4_scores": _TERMS + """SELECT item_id, term, n, df, n_records, round(CASE WHEN n * T >= L * cf THEN 2 ELSE -2 END * (
-    n * ln(n / (L::DOUBLE * cf / T)) + CASE WHEN cf > n THEN (cf - n) * ln((cf - n) / ((T - L)::DOUBLE * cf / T)) ELSE 0 END
-  + CASE WHEN L > n THEN (L - n) * ln((L - n) / (L::DOUBLE * (T - cf) / T)) ELSE 0 END
-  + CASE WHEN T - L - cf + n > 0 THEN (T - L - cf + n) * ln((T - L - cf + n) / ((T - L)::DOUBLE * (T - cf) / T)) ELSE 0 END), 4) + 0.0 AS llr
-FROM n JOIN s USING (term) JOIN len USING (item_id), tot""",
+    "p4_scores": _TERMS + "SELECT item_id, term, n, df, n_records, llr FROM (" + _LLR + ")",
+    "p4_distinctive": _TERMS + "SELECT item_id, term, llr FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY llr DESC, term) rn FROM (" + _LLR + ") WHERE llr > 0) WHERE rn <= 3",
     "p4_found": _TERMS + """SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY round(n * ln(n_records / df), 6) DESC, term) rn
 FROM n JOIN s USING (term), tot WHERE df BETWEEN 2 AND 12) WHERE rn <= 3""",
     "p6_found": """SELECT qi, ci FROM (SELECT qi, ci, row_number() OVER (PARTITION BY qi ORDER BY s DESC, ci) rn

@@ -1,10 +1,9 @@
 """Top N items of every group by simultaneous bisection of cutoffs.
 
-Every score becomes an order-preserving 64-bit code, the identifier orders equal
-scores. For all groups at once, the interval that holds the N-th code is cut at
-FANOUT - 1 midpoints, rows above each are counted (combined before the shuffle, so
-a group of any size costs a few counters a task), and the interval shrinks until the group has exactly N
-rows above its cutoff. Rows are never sorted or gathered by group.
+Rows are ordered by a code of score, then identifier. For all groups at once, the interval of codes that holds the N-th row is cut
+into FANOUT parts between the least and the largest code that occur in it, rows of each part are counted (combined before the shuffle, so
+a group of any size costs a few counters a task), and the interval shrinks to the part with the N-th row: by score while scores differ,
+by identifier among equal ones, until the group has exactly N rows above its cutoff. Rows are never sorted or gathered by group.
 """
 
 from __future__ import annotations
@@ -13,64 +12,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelake.staging import stage
+from sievelake.staging import drop_staged, stage
 
-FANOUT = 256
-#: Cutoffs of so many groups (under 40 bytes each) are broadcast; more are joined by shuffle.
+FANOUT = 1024
+#: Cutoffs of so many groups (under 100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 200_000
-_FLIP = 0x7FFFFFFFFFFFFFFF
-
-
-def score_code(score: Column) -> Column:
-    """A bigint ordered as the double ``score`` is (no NaN; -0.0 equals 0.0)."""
-    bits = F.expr("cast(java_method('java.lang.Double', 'doubleToLongBits', __s) as bigint)")
-    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_FLIP))).otherwise(bits)
 
 
 def _small(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_GROUPS else df.hint("merge")
 
 
-def _bisect(rows: DataFrame, wanted: DataFrame | None, need: int) -> DataFrame:
-    """Cutoff of each group with more rows than needed.
+def _part() -> Column:
+    """The part of its group's interval a row is in, better rows in higher parts.
 
-    ``rows`` (g, key), ``wanted`` (g, need) or None for ``need`` everywhere. Returns (g, need, lo, above, held): ``above`` rows
-    have a key over the interval's, ``held`` are in it. Either above + held = need, or the interval is one key.
+    Every expression rises with the score (falls with the identifier) whatever its rounding, and tells the interval's two ends apart, so an interval always shrinks.
+    Halves keep differences within the range of the type.
     """
-    pos, neg = F.col("key") >= 0, F.col("key") < 0
-    stats = rows.groupBy("g").agg(
-        F.count(F.when(pos, 1)).alias("n_pos"), F.count(F.lit(1)).alias("n"),
-        *[f(F.when(c, F.col("key"))).alias(f"{a}_{b}") for b, c in (("pos", pos), ("neg", neg)) for a, f in (("min", F.min), ("max", F.max))],
-    )
-    stats = stats.withColumn("need", F.lit(need).cast("long")) if wanted is None else stats.join(wanted, F.col("g").eqNullSafe(F.col("wg"))).drop("wg")
-    # zero is the first midpoint: within one sign, the width of an interval fits in 63 bits
-    in_pos = F.col("n_pos") >= F.col("need")
-    state = stats.where(F.col("n") > F.col("need")).select(
-        "g", "need",
-        F.when(in_pos, F.col("min_pos")).otherwise(F.col("min_neg")).alias("lo"), F.when(in_pos, F.col("max_pos")).otherwise(F.col("max_neg")).alias("hi"),
-        F.when(in_pos, F.lit(0)).otherwise(F.col("n_pos")).cast("long").alias("above"), F.when(in_pos, F.col("n_pos")).otherwise(F.col("n") - F.col("n_pos")).alias("held"),
-    )
-    state, done = stage(state, "bisect"), None
-    open_ = (F.col("lo") < F.col("hi")) & (F.col("above") + F.col("held") > F.col("need"))
-    while True:
-        closed = state.where(~open_).drop("hi")
+    v, lo, hi = F.col("v"), F.col("v_lo"), F.col("v_hi")
+    step = (hi * 0.5 - lo * 0.5) / FANOUT
+    by_score = (
+        F.when(hi == float("inf"), (v == hi).cast("long"))
+        .when(lo == float("-inf"), (v > lo).cast("long"))
+        .when(step > 0, F.least(F.floor((v * 0.5 - lo * 0.5) / step), F.lit(FANOUT - 1)))
+        .otherwise((v > lo).cast("long"))
+    )
+    half = lambda c: F.shiftright(F.col(c), 1)
+    wide = half("id_hi") - half("id_lo")
+    by_id = F.when(wide > 0, -F.expr(f"(shiftright(id, 1) - shiftright(id_lo, 1)) div ((shiftright(id_hi, 1) - shiftright(id_lo, 1)) div {FANOUT} + 1)")).otherwise(-(F.col("id") - F.col("id_lo")))
+    return F.when(lo < hi, by_score).otherwise(by_id)
+
+
+_STATE = ("above", "v_lo", "v_hi", "id_lo", "id_hi")
+
+
+def _extent() -> list[Column]:
+    return [F.count(F.lit(1)).alias("held"), F.min("v").alias("v_lo"), F.max("v").alias("v_hi"), F.min("id").alias("id_lo"), F.max("id").alias("id_hi")]
+
+
+def _inside(rows: DataFrame, state: DataFrame, count: int) -> DataFrame:
+    """Rows within their group's interval, with its bounds."""
+    at = _small(state.select(F.col("g").alias("sg"), *_STATE), count)
+    same = F.col("g").eqNullSafe(F.col("sg")) & F.col("v").between(F.col("v_lo"), F.col("v_hi")) & ((F.col("v_lo") < F.col("v_hi")) | F.col("id").between(F.col("id_lo"), F.col("id_hi")))
+    return rows.join(at, same).drop("sg")
+
+
+def _cutoffs(rows: DataFrame, need: int) -> tuple[DataFrame | None, int]:
+    """((g, v_lo, last), their number): of each group with over ``need`` rows the lowest score that is taken and, where some of its rows are not, the last identifier."""
+    state = stage(rows.groupBy("g").agg(*_extent()).where(F.col("held") > need).withColumn("above", F.lit(0).cast("long")), "bisect")
+    done, alive, total, opened = None, rows, 0, state.count()
+    while opened:
+        counts = _inside(alive, state, opened).groupBy("g", _part().alias("part")).agg(F.max("above").alias("before"), *_extent())
+        better = F.sum("held").over(Window.partitionBy("g").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("above", F.col("before") + F.coalesce(better, F.lit(0)))
+        now = stage(counts.where((F.col("above") < need) & (F.col("above") + F.col("held") >= need)).drop("before", "part"), "bisect")
+        drop_staged(state)
+        whole = F.col("above") + F.col("held") == need
+        last = F.when(F.col("v_lo") == F.col("v_hi"), F.col("id_hi"))
+        closed = now.where(whole).select("g", "v_lo", last.alias("last"))
         done = closed if done is None else done.unionByName(closed)
-        active = state.where(open_).withColumn("step", F.expr(f"(hi - lo) div {FANOUT} + 1"))
-        left = active.count()
-        if not left:
-            return done
-        hit = rows.join(_small(active.select(F.col("g").alias("sg"), "lo", "hi", "step"), left), F.col("g").eqNullSafe(F.col("sg")) & F.col("key").between(F.col("lo"), F.col("hi")))
-        counts = hit.groupBy("g", F.expr("(key - lo) div step").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        merged = counts.join(_small(active.withColumnRenamed("g", "sg"), left), F.col("g").eqNullSafe(F.col("sg"))).drop("sg")
-        over = F.sum("c").over(Window.partitionBy("g").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1))
-        ranked = merged.withColumn("above", F.col("above") + F.coalesce(over, F.lit(0)))
-        low = F.col("lo") + F.col("b") * F.col("step")
-        state = stage(
-            ranked.where((F.col("above") < F.col("need")) & (F.col("above") + F.col("c") >= F.col("need"))).select(
-                "g", "need", low.alias("lo"), F.least("hi", low + F.col("step") - 1).alias("hi"), "above", F.col("c").alias("held")
-            ),
-            "bisect",
-        )
+        state, before = now.where(~whole), opened
+        opened = state.count()
+        total += before - opened
+        if opened and alive is rows:
+            # from here on only the rows of open intervals are read
+            alive = stage(_inside(rows, state, opened).select("g", "id", "v"), "open-rows")
+    return done, total
 
 
 def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame:
@@ -85,21 +92,13 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
         raise TypeError("item must be an integer column")
     s = F.col(f"`{score}`").cast("double")
     once = (
-        df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").cast("long").alias("id"), (s + F.lit(0.0)).alias("__s"))
-        .where(F.col("__s").isNotNull() & ~F.isnan("__s") & F.col("id").isNotNull())
-        .groupBy("g", "id").agg(F.max("__s").alias("__s"))
+        df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").cast("long").alias("id"), (s + F.lit(0.0)).alias("v"))
+        .where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("id").isNotNull())
+        .groupBy("g", "id").agg(F.max("v").alias("v"))
     )
-    rows = stage(once.select("g", "id", "__s", score_code(F.col("__s")).alias("key")), "topn")
-    cut = stage(_bisect(rows.select("g", "key"), None, n), "cut")
-    tied = cut.where(F.col("above") + F.col("held") > F.col("need")).select(F.col("g").alias("wg"), (F.col("need") - F.col("above")).alias("need"), F.col("lo").alias("at"))
-    n_cut, n_tied = cut.count(), tied.count()
-    limit = cut.select(F.col("g").alias("cg"), "lo", F.when(F.col("above") + F.col("held") > F.col("need"), F.lit(True)).otherwise(F.lit(False)).alias("tie"))
-    if n_tied:
-        equal = rows.join(_small(tied.select("wg", "at"), n_tied), F.col("g").eqNullSafe(F.col("wg")) & (F.col("key") == F.col("at"))).select("g", (-F.col("id") - 1).alias("key"))
-        ids = _bisect(equal, tied.select("wg", "need"), n).select(F.col("g").alias("ig"), (-F.col("lo") - 1).alias("last"))
-        limit = limit.join(_small(ids, n_tied), F.col("cg").eqNullSafe(F.col("ig")), "left").drop("ig")
-    else:
-        limit = limit.withColumn("last", F.lit(None).cast("long"))
-    taken = F.col("lo").isNull() | (F.col("key") > F.col("lo")) | ((F.col("key") == F.col("lo")) & (~F.col("tie") | (F.col("id") <= F.col("last"))))
-    kept = rows.join(_small(limit, n_cut), F.col("g").eqNullSafe(F.col("cg")), "left").where(taken)
-    return kept.select(F.col("g").alias(group), F.col("id").cast(kind).alias(item), F.col("__s").alias(score))
+    rows = stage(once, "topn")
+    limit, count = _cutoffs(rows, n)
+    if limit is not None:
+        taken = F.col("v_lo").isNull() | (F.col("v") > F.col("v_lo")) | ((F.col("v") == F.col("v_lo")) & (F.col("last").isNull() | (F.col("id") <= F.col("last"))))
+        rows = rows.join(_small(limit.withColumnRenamed("g", "cg"), count), F.col("g").eqNullSafe(F.col("cg")), "left").where(taken)
+    return rows.select(F.col("g").alias(group), F.col("id").cast(kind).alias(item), F.col("v").alias(score))

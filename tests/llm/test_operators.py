@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sievelake.llm import private, sentences
 from sievelake.llm.distinctive import term_scores
-from sievelake.llm.mixing import mix, plan_mixture, split_quotas
+from sievelake.llm import queries as llm_queries
+from sievelake.llm.mixing import block_count, mix, plan_mixture, split_quotas
 from sievelake.llm.neighbours import BitCodes, KnnParams, nearest_neighbours, neighbour_pairs, rotation
 from sievelake.llm.queries import QUERIES, SQL, vocabulary
 from sievelake.llm.tokenizer import BytePairEncoder, encode_corpus
@@ -157,7 +158,8 @@ def test_shares_caps_and_uses(spark):
     rows = [(i, rng.choice(["big"] * 6 + ["mid"] * 3 + ["small", None, "other"]), rng.randint(0, 60)) for i in range(4000)] + [(9001, "mid", None)]
     df = spark.createDataFrame(rows, "id long, source string, z int").withColumn("shard", F.lit(1)).withColumn("block", F.lit(2))
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.15, 4), ("gone", 0.05, 3)], "source string, target_share double, max_repeats int")
-    mixture, report = mix(df, "id", "source", "z", targets, shards=8, blocks=512)
+    df = df.withColumn("digest", F.col("id").cast("string"))
+    mixture, report = mix(df, "id", "source", "digest", "z", targets, shards=8, blocks=512)
     got, shares = mixture.collect(), {r["source"]: r for r in report.collect()}
     uses = Counter((r["source"], r["id"]) for r in got)
     caps = {"big": 1, "mid": 2, "small": 4}
@@ -171,10 +173,37 @@ def test_shares_caps_and_uses(spark):
     for s in range(8):
         pos = sorted(r["pos"] for r in got if r["shard"] == s)
         assert pos == list(range(1, len(pos) + 1))
-    empty, zero = mix(df.limit(0), "id", "source", "z", targets)
+    empty, zero = mix(df.limit(0), "id", "source", "digest", "z", targets)
     assert empty.count() == 0 and all(r["tokens"] == 0 for r in zero.collect())
 
 
+def test_copies_of_a_text_share_its_cap(spark):
+    """Of 300 copies of one text, and of null texts, the smallest key is used, as often as any other text."""
+    rows = [(i, "a", "same" if i < 300 else None if i < 310 else f"t{i}", 10) for i in range(400)] + [(1000 + i, "b", f"u{i % 5}", 10) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, source string, digest string, z int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mixture, report = mix(df, "id", "source", "digest", "z", targets, shards=4, blocks=16)
+    uses = Counter((r["source"], rows[r["id"]][2] if r["id"] < 1000 else f"u{r['id'] % 5}") for r in mixture.collect())
+    assert max(n for (s, _), n in uses.items() if s == "a") <= 2 and max(n for (s, _), n in uses.items() if s == "b") == 3
+    assert {r["id"] for r in mixture.collect()} <= {0, 300, *range(310, 400), *range(1000, 1005)}
+    assert {r["source"]: r["available_tokens"] for r in report.collect()} == {"a": 920, "b": 50}
+
+
+def test_the_mixture_of_the_tables_keeps_every_cap(spark):
+    got = llm_queries.QUERIES["p9_mixture"](spark, "/root/testdata/sf0.1")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    caps = spark.read.parquet("/root/testdata/sf0.1/mix_targets.parquet").select("source", "max_repeats")
+    assert got.join(docs, "doc_id").groupBy("source", "text").count().join(caps, "source").where("count > max_repeats").count() == 0
+    assert got.count() > 0
+
+
+def test_blocks_shrink_with_repeats():
+    assert block_count({"a": (1.0, 4)}, 4096) == 4096
+    assert block_count({"a": (1.0, 40_000)}, 4096) == 10
+    with pytest.raises(ValueError):
+        block_count({"a": (1.0, 10**6)}, 4096)
+
+
 def test_a_source_limits_the_mixture_at_its_cap():
     chosen, report = plan_mixture({"a": {0: 100, 1: 100}, "b": {0: 10}}, {"a": (0.5, 1), "b": (0.5, 4)}, 2, 1)
     assert Counter(s for s, *_ in chosen)["b"] == 4 and {r[0]: r[4] for r in report}["b"] == 40
