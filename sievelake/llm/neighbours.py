@@ -40,9 +40,9 @@ class KnnParams:
     cell_size: int = 400
     root_share: float = 0.25
     max_centroids: int = 65_536
-    per_cell: int = 16
-    least_sample: int = 4_000
-    probes: int = 8
+    per_cell: int = 64
+    least_sample: int = 8_000
+    probes: int = 12
     margin: float = 0.12
     max_cells: int = 4
     error: float = 3.0
