@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelake.staging import stage
 
@@ -241,6 +242,17 @@ def _names(text: str, run: list[tuple[int, int, str, str]], in_street: bytearray
             before, after = run[i - 1][3] if i else "", run[j][3] if j < len(run) else ""
             inside = in_street.find(1, a, b) >= 0
             add(3, a, b, _person_votes(text, parts, before, after, left, latin, inside), left, "p=" + parts, f"b={before}", f"a={after}", f"latin={latin}", f"in={inside}")
+    # longer names: stretches of nothing but name parts, each as a whole
+    i = 0
+    while i < len(run):
+        j = i
+        while j < len(run) and run[j][3] != "o":
+            j += 1
+        if j - i > 4 and any(x[3] != "i" for x in run[i:j]):
+            a, b = run[i][0], run[j - 1][1]
+            left, latin, inside = [run[i - 1][2].lower()] if i else _left_words(text, a), run[i][2].isascii() and run[j - 1][2].isascii(), in_street.find(1, a, b) >= 0
+            add(3, a, b, _person_votes(text, "".join(x[3] for x in run[i:j]), "", "", left, latin, inside), left, "p=long", f"latin={latin}", f"in={inside}")
+        i = max(j, i + 1)
 
 
 @dataclass
@@ -439,11 +451,32 @@ def find_private(df: DataFrame, key: str, text: str, model: PrivateModel | None
 
 
 def redact(df: DataFrame, text: str, model: PrivateModel | None = None, *, out: str = "redacted") -> DataFrame:
-    """``df`` with a column of the text with placeholders; null stays null, all columns and rows are kept."""
-    shared = df.sparkSession.sparkContext.broadcast(model or learn(df, text))
+    """``df`` with a column of the text with placeholders; null stays null, all columns and rows are kept.
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: shared.value.redact(t) if isinstance(t, str) else None)
+    Spans are proposed once: rows are written with them, the model is learned from there (as by ``find_private`` on the same rows), and decides there.
+    """
+    kept = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
+    schema = T.StructType([kept.schema["row"], T.StructField("spans", T.DataType.fromDDL(f"array<{_SPAN}>"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [
+                [{"family": s.family, "a": s.start, "b": s.end, "votes": s.votes, "marks": s.marks, "found": t[s.start : s.end]} for s in propose(t)] or None if t else None for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN_ARROW))], names=["row", "spans"])
 
-    return df.withColumn(out, clean(F.col(f"`{text}`")))
+    rows = stage(kept.mapInArrow(run, schema), "spans")
+    shared = df.sparkSession.sparkContext.broadcast(model or learn_from(rows.where(F.col("spans").isNotNull())))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = []
+            for t, cell in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for a, b, kind in reversed(m.resolve(_spans(cell), len(t))) if cell else ():
+                    t = t[:a] + PLACEHOLDERS[kind] + t[b:]
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "t"])
+
+    done = rows.select("row", F.col(f"row.`{text}`").alias("t"), "spans").mapInArrow(clean, T.StructType([kept.schema["row"], T.StructField("t", T.StringType())]))
+    return done.select("row.*", F.col("t").alias(out))

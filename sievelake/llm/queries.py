@@ -44,8 +44,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Descriptions with typed placeholders, once an item."""
-    items = table(spark, sf, "benchmark_items", ["item_id", "item_description_raw"]).dropDuplicates(["item_id"])
-    return redact(items, "item_description_raw").select("item_id", "redacted")
+    items = table(spark, sf, "benchmark_items", ["item_id", "item_description_raw"])
+    return redact(items, "item_description_raw").select("item_id", "redacted").dropDuplicates(["item_id"])
 
 
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts, learned without labels.
 
 One pass over all texts counts word types: how often they carry a full stop, stand in lower case, stand within a sentence with a capital, or
-follow a certain boundary (a heading, an exclamation or question mark). By script, log-likelihood ratios of these counts yield abbreviations, sentence starters
+follow a certain boundary (a heading, an exclamation or question mark). By language, log-likelihood ratios of these counts yield abbreviations, sentence starters
 and collocations of numbers with what follows their full stop. A second pass classifies every full stop with these statistics; other
-marks, quotations, empty lines and Thai blanks follow rules of the script. The language tags of the documents are not used.
+marks, quotations, empty lines and Thai blanks follow rules of the script. The language tags of the documents are not used: a word's language is that of its script, and
+for Latin script and ideographs that of its text, told by function words and kana.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,21 @@ THAI = "ก-๛"
 
 _LETTER = rf"(?:[^\W_]|[{SIGNS}])"
 _WORD = re.compile(rf"[^\W_]{_LETTER}*(?:[.'’\-]{_LETTER}+)*")
-_LINK = re.compile(r"(?:https?://|www\.)[^\s«»“”「」()，。！？]+|(?<![\w.+-])[\w.+-]+@[\w.-]+\w|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[a-z0-9_-]+)*\.[a-z]{2,}(?:/[^\s«»“”「」()，。！？]*)?")
+_LINK = re.compile(r"(?P<whole>(?:https?://|www\.)[^\s«»“”「」()，。！？]+|(?<![\w.+-])[\w.+-]+@[\w.-]+\w)|(?<![A-Za-z0-9_-])(?P<chain>[A-Za-z0-9_-]+(?:\.[a-z0-9_-]+)++)(?P<path>/[^\s«»“”「」()，。！？]*)?")
+_MAY_LINK = re.compile(r"://|www\.|@|[A-Za-z0-9_-]\.[a-z]")
+_DOMAIN = re.compile(r"\.[a-z]{2,}")
 _MARK = re.compile(rf"[{re.escape(MARKS)}]+")
-_GAP = re.compile(r"\s+")
+_LINES = re.compile(r"(?<!\s)\s{2,}")
+_BRACKET = re.compile(r"[«»“”„「」『』()（）\[\]《》‹›\"]")
+_SIGN_RUN = re.compile(r"(?:[^\w\s]|_)*")
+_LATIN_WORD = re.compile(r"[a-zà-ÿ]+")
 _EMOJI = re.compile(rf"[ \t ]*[{EMOJI}]*[\U0001f000-\U0001faff☀-➿⭐⭕][{EMOJI}]*")
+_FACES = re.compile(rf"(?<![{EMOJI}])(?:(?<![ \t ])[ \t ]+)?[{EMOJI}]*[\U0001f000-\U0001faff☀-➿⭐⭕][{EMOJI}]*")
 _CJK_START = re.compile(rf"(^|[\n。！？!?])([」』”\"»）)]*)[ \t 　]*([{CJK}]{{1,2}})")
 _CJK = re.compile(rf"[{CJK}]")
+_THAI = re.compile(f"[{THAI}]")
+_KANA = re.compile("[぀-ヿ]")
+_LATIN = re.compile("[A-Za-z]")
 _THAI_GAP = re.compile(rf"(?<=[{THAI}])([​]*\s[\s​]*)(?=[{THAI}])")
 
 #: Thresholds of the published method: score of an abbreviation, log-likelihood ratio of a starter or collocation.
@@ -47,10 +58,38 @@ NUMBER = "##"
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
 
-def script(ch: str) -> str:
+#: Function words that tell languages of Latin script apart. A text with none of them, or as many of several, is of the table "latn".
+FUNCTION_WORDS = {
+    "de": "der die das und ist nicht mit für ein eine einen einem den dem des von zu im auf wir ich sie es sich auch nach bei oder aus wird sind war hat am zum zur".split(),
+    "en": "the and is not with for a an of to in on we i you it this that are was has have at by or from be will as".split(),
+    "es": "el la los las y es no con por para un una de en que se del al lo su".split(),
+    "fr": "le la les et est ne pas avec pour un une de en que se du au des il nous vous".split(),
+}
+_TONGUES: dict[str, list[str]] = {}
+for _lang, _list in FUNCTION_WORDS.items():
+    for _w in _list:
+        _TONGUES.setdefault(_w, []).append(_lang)
+
+
+def tongues(text: str) -> tuple[str, str]:
+    """(table of its Latin words, table of its ideographs)."""
+    latin = "latn"
+    if _LATIN.search(text):
+        hits: Counter = Counter()
+        for w in _LATIN_WORD.findall(text.lower()):
+            for lang in _TONGUES.get(w, ()):
+                hits[lang] += 1
+        best = hits.most_common(2)
+        if best and (len(best) == 1 or best[0][1] > best[1][1]):
+            latin = best[0][0]
+    return latin, "ja" if _KANA.search(text) else "zh"
+
+
+def script(ch: str, where: tuple[str, str] = ("latn", "zh")) -> str:
+    """The table of a character's words, in a text of the given tongues."""
     o = ord(ch)
     if o < 0x250:
-        return "latn"
+        return where[0]
     if 0x400 <= o < 0x530:
         return "cyrl"
     if 0x600 <= o < 0x780:
@@ -60,32 +99,54 @@ def script(ch: str) -> str:
     if 0xE00 <= o < 0xE80:
         return "thai"
     if 0x3040 <= o < 0xA000:
-        return "cjk"
+        return where[1]
     return "othr"
 
 
+#: Tables of ideographs, whose starters are the first two signs.
+IDEOGRAPHS = ("zh", "ja")
+
+
 def word_type(word: str) -> str:
+    return _short_type(word) if len(word) <= 64 else _type_of(word)
+
+
+def _type_of(word: str) -> str:
     if word[0].isdigit() and word.replace(".", "").replace("-", "").replace("'", "").isdigit():
         return NUMBER
     word = _STRETCHED.sub(r"\1", word.replace("​", ""))
     return (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
 
 
+#: Table, type and case of words seen, by task; bounds the worker's memory only.
+SEEN = 300_000
+_seen: dict[str, tuple[str, str, bool]] = {}
+
+
+#: Types of the words met, without those that would make it large.
+_short_type = lru_cache(maxsize=200_000)(_type_of)
+
+
 def count_types(text: str, types: dict, pairs: Counter) -> None:
     """Adds a text's counts by (script, type), in the order of COUNTS, and those of (script, dotted type, next capitalised type)."""
-    last_end, prev = 0, None
+    last_end, prev, where = 0, None, tongues(text)
     for m in _WORD.finditer(text):
         word, at = m[0], m.start()
         gap = text[last_end:at]
-        key = (script(word[0]), word_type(word))
-        if key[0] in ("cjk", "thai"):
+        known = _seen.get(word)
+        if known is None:
+            if len(_seen) > SEEN:
+                _seen.clear()
+            known = _seen[word] = (script(word[0], ("", "cjk")), word_type(word), word[0].isupper())
+        table, kind, upper = known
+        if table == "cjk" or table == "thai":
             prev, last_end = None, m.end()
             continue
+        key = (table or where[0], kind)
         c = types.get(key)
         if c is None:
             c = types[key] = [0] * len(COUNTS)
         c[0] += 1
-        upper = word[0].isupper()
         if not upper:
             c[1] += 1
         bare = gap.replace("​", "").strip()
@@ -118,7 +179,7 @@ def count_types(text: str, types: dict, pairs: Counter) -> None:
         types[prev][9] += 1
     if _CJK.search(text):
         for m in _CJK_START.finditer(text):
-            c = types.setdefault(("cjk", m[3]), [0] * len(COUNTS))
+            c = types.setdefault((where[1], m[3]), [0] * len(COUNTS))
             c[0] += 1
             c[4 if m[2] else 3] += 1
 
@@ -182,12 +243,11 @@ def learn(df: DataFrame, text: str) -> SentenceModel:
     totals = F.broadcast(types.groupBy("script").agg(F.sum("n").alias("all"), F.sum("dot").alias("dots"), F.sum("strong").alias("strongs")))  # a row a script
     types = types.join(totals, "script")
     one = F.lit(1.0)
-    cased = ~F.col("script").isin("cjk", "deva", "arab", "thai")
-    ratio = F.col("strong") / F.when(cased, F.col("n")).otherwise(F.col("n"))
+    ratio = F.col("strong") / F.col("n")
     start_llr = dunning(F.col("n") * one, F.col("strongs") * one, F.col("strong") * one, F.col("all") * one)
-    starter = F.when(F.col("script") == "cjk", F.col("strong") >= 0.3 * F.col("n")).otherwise((ratio > F.col("strongs") / F.col("all")) & (start_llr >= STARTER))
+    starter = F.when(F.col("script").isin(*IDEOGRAPHS), F.col("strong") >= 0.3 * F.col("n")).otherwise((ratio > F.col("strongs") / F.col("all")) & (start_llr >= STARTER))
     starters = stage(types.where((F.col("strong") > 0) & starter & (F.col("type") != NUMBER)).select("script", "type", ratio.alias("share")), "starters")
-    # script of the follower is that of its own row; the same script is assumed, as for nearly all
+    # the table of the follower is that of its own row; the same table is assumed, as for nearly all
     pairs = counted.where(F.col("next").isNotNull()).select("script", "type", "next", F.col("n").alias("k"))
     ends = pairs.join(starters.select("script", F.col("type").alias("next")), ["script", "next"], "left_semi").groupBy("script", "type").agg(F.sum("k").alias("ended"))
     periods = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit(""))) + 1
@@ -219,6 +279,15 @@ def learn(df: DataFrame, text: str) -> SentenceModel:
 class Segmenter:
     def __init__(self, model: SentenceModel):
         self.m = model
+        #: Words over this length are none of the model's (stretched letters are told apart up to it).
+        self.longest = 4 * max((len(t) for _, t in [*model.digits, *model.counted, *model.starters, *model.lower, *model.ordinals]), default=0) + 16
+
+    def _begin(self, text: str) -> None:
+        """What is remembered of a text while its marks are read from left to right, so that no stretch is read again for each mark in it."""
+        self.where, self.signs, self.run, self.first = tongues(text), (0, 0, None), (-1, -1), (-1, -1)
+
+    def _script(self, ch: str) -> str:
+        return script(ch, self.where)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the sentences, in code points; together they cover all that is not white space."""
@@ -235,22 +304,24 @@ class Segmenter:
         return out
 
     def _cuts(self, text: str) -> list[int]:
-        blank = [(m.start(), m.end()) for m in _GAP.finditer(text) if m[0].count("\n") > 1 or (m[0].count("\r") > 1 and "\n" not in m[0])]
+        self._begin(text)
+        blank = [(m.start(), m.end()) for m in _LINES.finditer(text) if m[0].count("\n") > 1 or (m[0].count("\r") > 1 and "\n" not in m[0])]
         cuts = {e for _, e in blank}
         quoted = self._quoted(text, blank)
-        links = [(m.start(), m.end()) for m in _LINK.finditer(text)]
-        caseless = not any(c.isupper() for c in text)
+        links = self._links(text)
+        caseless = text == text.lower()
         unit = 0
-        ends = sorted(cuts)
-        thai = {m.end() for m in _THAI_GAP.finditer(text) if not quoted[m.start()]} if re.search(f"[{THAI}]", text) else set()
+        ends, next_end = sorted(cuts), 0
+        thai = {m.end() for m in _THAI_GAP.finditer(text) if not quoted[m.start()]} if _THAI.search(text) else set()
         cuts |= thai
         li = 0
         for m in _MARK.finditer(text):
             i, j = m.start(), m.end()
             if i < unit:
                 continue
-            while ends and ends[0] <= i:
-                unit = max(unit, ends.pop(0))
+            while next_end < len(ends) and ends[next_end] <= i:
+                unit = max(unit, ends[next_end])
+                next_end += 1
             while li < len(links) and links[li][1] <= i:
                 li += 1
             if li < len(links) and links[li][0] <= i < links[li][1] and (j < links[li][1]):
@@ -266,7 +337,10 @@ class Segmenter:
             end = closed
             while end < len(text) and text[end] in MARKS and text[end] != ".":
                 end += 1
-            face = _EMOJI.match(text, end)
+            k = end
+            while k < len(text) and text[k] in " \t ":
+                k += 1
+            face = _EMOJI.match(text, end) if k < len(text) and text[k] >= "\u200d" else None
             if face:
                 end = face.end()
             if self._breaks(text, i, j, closed, end, in_quote, bool(face), caseless, unit):
@@ -274,21 +348,40 @@ class Segmenter:
                 unit = end
         # an emoji after a Thai sentence closes it
         if thai or _CJK.search(text):
-            for face in _EMOJI.finditer(text):
+            for face in _FACES.finditer(text):
                 b = face.start()
-                if b and re.match(f"[{THAI}]", text[b - 1]) and not quoted[b - 1]:
+                if b and _THAI.match(text[b - 1]) and not quoted[b - 1]:
                     cuts.add(face.end())
         return sorted(cuts)
 
+    @staticmethod
+    def _links(text: str) -> list[tuple[int, int]]:
+        """(start, end) of web and mail addresses. Labels parted by full stops are read once, and are an address up to the last that could be a domain."""
+        out = []
+        if not _MAY_LINK.search(text):
+            return out
+        for m in _LINK.finditer(text):
+            if m["whole"]:
+                out.append(m.span())
+                continue
+            last = None
+            for last in _DOMAIN.finditer(text, m.start("chain"), m.end("chain")):
+                pass
+            if last:
+                out.append((m.start(), m.end() if last.end() == m.end("chain") else last.end()))
+        return out
+
     @staticmethod
     def _quoted(text: str, blank: list[tuple[int, int]]) -> bytearray:
         """1 inside a quotation or bracket, 2 at its closing sign; one left open at an empty line or the end is none."""
         mark = bytearray(len(text) + 1)
         stack: list[tuple[int, str]] = []
+        closed: list[tuple[int, int]] = []
+        outer: list[int] = []
         awaited: Counter = Counter()  # closing signs that would end something open
         edges = iter([*(a for a, _ in blank), len(text) + 1])
         edge = next(edges)
-        for m in re.finditer(r"[«»“”„「」『』()（）\[\]《》‹›\"]", text):
+        for m in _BRACKET.finditer(text):
             i, ch = m.start(), m[0]
             while i >= edge:
                 stack.clear()
@@ -296,42 +389,50 @@ class Segmenter:
                 edge = next(edges)
             opened = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][1]), -1) if awaited[ch] > 0 else -1
             if opened >= 0 and not (ch == "“" and stack[opened][1] == "”"):
-                a = stack[opened][0]
+                closed.append((stack[opened][0], i + 1))
                 for _, ends in stack[opened:]:
                     awaited.subtract(ends)
                 del stack[opened:]
-                for k in range(a, i):
-                    mark[k] = mark[k] or 1
-                mark[i] = 2 if not stack else 1
-                if stack:
-                    mark[i] = 1
+                if not stack:
+                    outer.append(i)
             elif ch == '"':
                 stack.append((i, '"'))
                 awaited['"'] += 1
             elif ch in PAIRS:
                 stack.append((i, PAIRS[ch]))
                 awaited.update(PAIRS[ch])
+        done = 0
+        for a, b in sorted(closed, key=lambda r: (r[0], -r[1])):  # nested stretches are within their outermost
+            if b > done:
+                mark[max(a, done) : b] = b"\1" * (b - max(a, done))
+                done = b
+        for i in outer:
+            mark[i] = 2
         return mark
 
     def _next_word(self, text: str, at: int) -> tuple[str, str, bool, bool]:
-        """(sign before it, word, whether a line break lies before, whether a blank does) of what follows."""
+        """(first sign before it, word, whether a line break lies before, whether a blank does) of what follows."""
         k, line = at, False
         while k < len(text) and (text[k].isspace() or text[k] == "​"):
             line |= text[k] == "\n"
             k += 1
         space, sign = k > at, ""
-        while k < len(text) and not (text[k].isalnum() or text[k].isspace()):
-            sign += text[k]
-            k += 1
-        while k < len(text) and text[k].isspace():
-            k += 1
-        m = _WORD.match(text, k)
-        return sign, m[0] if m else "", line, space
+        a, b, word = self.signs
+        if not a <= k < b:
+            b = _SIGN_RUN.match(text, k).end()
+            end = b
+            while end < len(text) and text[end].isspace():
+                end += 1
+            m = _WORD.match(text, end, end + self.longest)  # a longer word is in no set either
+            self.signs = k, b, (word := m[0] if m else "")
+        if k < b:
+            sign = text[k]
+        return sign, word, line, space
 
     def _starts(self, word: str, share: float = 0.0) -> bool:
-        s = script(word[0])
-        if s == "cjk":
-            return ("cjk", word[:2]) in self.m.starters
+        s = self._script(word[0])
+        if s in IDEOGRAPHS:
+            return (s, word[:2]) in self.m.starters
         return self.m.starters.get((s, word_type(word)), -1.0) >= share and (s, word_type(word)) in self.m.starters
 
     def _goes_on(self, text: str, at: int, caseless: bool) -> bool:
@@ -341,10 +442,10 @@ class Segmenter:
             return True
         if not word:
             return False
-        c, s = word[0], script(word[0])
+        c, s = word[0], self._script(word[0])
         if c.isdigit():
             return False
-        if s == "cjk":
+        if s in IDEOGRAPHS:
             return not line and not self._starts(word)
         if c.isupper():
             return False
@@ -374,7 +475,7 @@ class Segmenter:
         if face:
             return True
         if not (space or after in CLOSERS) and closed == j:
-            if _CJK.match(after) or script(after) in ("arab", "deva") and after.isalpha():
+            if _CJK.match(after) or self._script(after) in ("arab", "deva") and after.isalpha():
                 pass
             elif not (after.isupper() or after in PAIRS or after in "—–"):
                 return False
@@ -382,21 +483,33 @@ class Segmenter:
 
     def _full_stop(self, text: str, i: int, sign: str, word: str, line: bool, space: bool, caseless: bool, unit: int) -> bool:
         m = self.m
-        a = i
+        a, (run_end, run_start) = i, self.run
         while a > unit and (text[a - 1].isalnum() or text[a - 1] in ".-'’​‍" or unicodedata.combining(text[a - 1]) or unicodedata.category(text[a - 1]) in ("Mn", "Mc")):
+            if a - 1 == run_end:  # the run of an earlier full stop goes on
+                a = max(run_start, unit)
+                break
             a -= 1
-        left = text[a:i].strip("-'’.​")
+        self.run = i, a
+        long = i - a > self.longest and text.find(".", a, i) >= 0
+        left = text[a : a + 16 if long else i].strip("-'’.​")
         if not left:
             return True
-        lead, s = word[:1], script(left[0]) if left else ""
-        nxt = (script(word[0]), word_type(word)) if word else ("", "")
+        lead, s = word[:1], self._script(left[0])
+        nxt = (self._script(word[0]), word_type(word)) if word else ("", "")
         if lead and sign and sign[0] in ",;:，；":
             return False
+        if long:
+            return True
         number = word_type(left) == NUMBER
         if number or left[0].isdigit():
             if not left.isdigit():
                 return True  # decimals, times, dates
-            head = not text[unit:a].strip()
+            if self.first[0] != unit:
+                k = unit
+                while k < a and text[k].isspace():
+                    k += 1
+                self.first = unit, k
+            head = self.first[1] >= a
             if head and len(left) <= 3 and space and lead:
                 return False  # a list number belongs to what follows
             if not lead or lead.isdigit():
@@ -422,7 +535,7 @@ class Segmenter:
         if lead.islower() and not caseless:
             return False
         if not (lead.isupper() or lead.islower()):
-            return kind not in m.digits and not initial or script(lead) != s and self._starts(word)
+            return kind not in m.digits and not initial or self._script(lead) != s and self._starts(word)
         if caseless:
             return self._starts(word, 0.1) and not initial
         if sign[:1] in ("—", "–") and not line:

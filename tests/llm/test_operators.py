@@ -351,7 +351,24 @@ def test_long_words_that_usually_end_sentences_are_no_abbreviations(spark):
     text = "Am Ende waren alle zufrieden. Der Hof war leer! Der Tag war lang! Im Haus blieb es ruhig, und nebenan auch."
     df = spark.createDataFrame([(text,)], "text string").withColumn("text", F.explode(F.array_repeat("text", 6000)))
     model = sentences.learn(df, "text")
-    assert ("latn", "der") in model.starters and ("latn", "zufrieden") not in model.digits
+    assert ("de", "der") in model.starters and ("de", "zufrieden") not in model.digits  # the table of the text's language
+
+
+def test_the_language_of_a_text_is_told_by_its_words():
+    assert sentences.tongues("Der Hof ist leer und die Tür auch") == ("de", "zh")
+    assert sentences.tongues("The yard is empty") == ("en", "zh")
+    assert sentences.tongues("HDMI 2.0") == ("latn", "zh") and sentences.tongues("これは本です") == ("latn", "ja")
+    assert sentences.tongues("") == ("latn", "zh")
+
+
+@pytest.mark.parametrize("part", ["а.б", "a.b.", "-.", "1. ", "1.2.", "«", "(", "a\n\n", "\u200d", ". "])
+def test_degenerate_texts_take_linear_time(cutter, part):
+    import time
+
+    text, began = part * (100_000 // len(part)), time.time()
+    spans = cutter.spans(text) + cutter.spans("(" * 50_000 + ")" * 50_000)
+    sentences.count_types(text, {}, Counter())
+    assert time.time() - began < 5 and spans is not None
 
 
 @pytest.fixture(scope="module")
