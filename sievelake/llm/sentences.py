@@ -129,7 +129,7 @@ _short_type = lru_cache(maxsize=200_000)(_type_of)
 
 def count_types(text: str, types: dict, pairs: Counter) -> None:
     """Adds a text's counts by (script, type), in the order of COUNTS, and those of (script, dotted type, next capitalised type)."""
-    last_end, prev, where = 0, None, tongues(text)
+    last_end, prev, where = 0, None, None
     for m in _WORD.finditer(text):
         word, at = m[0], m.start()
         gap = text[last_end:at]
@@ -142,13 +142,21 @@ def count_types(text: str, types: dict, pairs: Counter) -> None:
         if table == "cjk" or table == "thai":
             prev, last_end = None, m.end()
             continue
-        key = (table or where[0], kind)
+        if not table:
+            where = where or tongues(text)
+            table = where[0]
+        key = (table, kind)
         c = types.get(key)
         if c is None:
             c = types[key] = [0] * len(COUNTS)
         c[0] += 1
         if not upper:
             c[1] += 1
+        if gap == " " and last_end:
+            if upper:
+                c[2] += 1
+            prev, last_end = key, m.end()
+            continue
         bare = gap.replace("​", "").strip()
         if not last_end or gap.count("\n") > 1:
             c[3] += 1
@@ -178,6 +186,7 @@ def count_types(text: str, types: dict, pairs: Counter) -> None:
     elif prev is not None and not text[last_end:].strip():
         types[prev][9] += 1
     if _CJK.search(text):
+        where = where or tongues(text)
         for m in _CJK_START.finditer(text):
             c = types.setdefault((where[1], m[3]), [0] * len(COUNTS))
             c[0] += 1
@@ -284,10 +293,12 @@ class Segmenter:
 
     def _begin(self, text: str) -> None:
         """What is remembered of a text while its marks are read from left to right, so that no stretch is read again for each mark in it."""
-        self.where, self.signs, self.run, self.first = tongues(text), (0, 0, None), (-1, -1), (-1, -1)
+        self.text, self.where, self.signs, self.run, self.first = text, None, (0, 0, None), (-1, -1), (-1, -1)
 
     def _script(self, ch: str) -> str:
-        return script(ch, self.where)
+        if self.where is None and (ch < "\u0250" or "\u3040" <= ch < "\ua000"):
+            self.where = tongues(self.text)
+        return script(ch, self.where or ("latn", "zh"))
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the sentences, in code points; together they cover all that is not white space."""
