@@ -16,6 +16,7 @@ quote becomes part of a bare value, which then carries an error flag.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -48,42 +49,66 @@ class PackedGrammar:
         self._sep = re.compile(SEPARATORS)
         self._bare = re.compile(rf"(?s:.+?)(?={SEPARATORS}|\s{key}|\Z)")
         self._end = re.compile(rf"\s*(?:{SEPARATORS}|\Z)|\s+{key}")
-        self._quoted = [
-            (a, re.compile(re.escape(a) + (rf"((?:[^{re.escape(b)}]|{re.escape(b)}{re.escape(b)})*)" if twice else rf"([^{re.escape(b)}]*)") + re.escape(b)), b, twice)
-            for a, b, twice in QUOTES
-        ]
+        self._runs = {b: re.compile(f"{re.escape(b)}+") for _, b, twice in QUOTES if twice}
 
     def _at_key(self, text: str, at: int) -> re.Match | None:
         if at and not (text[at - 1].isspace() or text[at - 1] in ";|"):
             return None
         return self._key.match(text, at)
 
-    def _quote(self, text: str, at: int) -> tuple[str, int, str]:
+    def _close(self, text: str, at: int, sign: str, twice: bool, seen: dict) -> int:
+        """Where the quote opened at ``at`` closes, or -1. ``seen`` holds what is known of the text, so that no stretch of it is searched for each opening sign."""
+        if not twice:
+            if seen.get(sign, len(text)) <= at:  # no closing sign from there on
+                return -1
+            found = text.find(sign, at + 1)
+            if found < 0:
+                seen[sign] = at
+            return found
+        # doubled signs stand for themselves, so a quote closes at the end of the next run that is odd, its own opening sign left out
+        if sign not in seen:
+            seen[sign] = [m.span() for m in self._runs[sign].finditer(text)]
+            seen[sign, "odd"] = [e - 1 for s, e in seen[sign] if (e - s) % 2]
+            seen[sign, "ends"] = [e for _, e in seen[sign]]
+        end = seen[sign, "ends"][bisect_right(seen[sign, "ends"], at)]
+        if (end - at - 1) % 2:
+            return end - 1
+        odd = seen[sign, "odd"]
+        k = bisect_left(odd, end)
+        return odd[k] if k < len(odd) else -1
+
+    def _quote(self, text: str, at: int, seen: dict) -> tuple[str, int, str]:
         """(value, end, flag); end -1 where the alternative fails."""
-        for a, rx, b, twice in self._quoted:
+        for a, b, twice in QUOTES:
             if text[at] == a:
-                m = rx.match(text, at)
-                if not m:
+                close = self._close(text, at, b, twice, seen)
+                if close < 0:
                     return "", -1, UNCLOSED
-                if not self._end.match(text, m.end()):
+                if not self._end.match(text, close + 1):
                     return "", -1, TRAILING
-                return (m[1].replace(b + b, b) if twice else m[1]), m.end(), ""
+                value = text[at + 1 : close]
+                return (value.replace(b + b, b) if twice else value), close + 1, ""
         return "", -1, ""
 
-    def _bracket(self, text: str, at: int) -> tuple[str, int]:
+    def _bracket(self, text: str, at: int, seen: dict) -> tuple[str, int]:
         for a, b in self.brackets:
             if text[at] == a:
-                depth = 0
-                for i in range(at, len(text)):
-                    depth += (text[i] == a) - (text[i] == b)
-                    if not depth:
-                        return (text[at + 1 : i], i + 1) if self._end.match(text, i + 1) else ("", -1)
+                if (a, b) not in seen:
+                    pairs, stack = seen.setdefault((a, b), {}), []
+                    for m in re.finditer(f"[{re.escape(a)}{re.escape(b)}]", text):
+                        if m[0] == a:
+                            stack.append(m.start())
+                        elif stack:
+                            pairs[stack.pop()] = m.start()
+                close = seen[a, b].get(at, -1)
+                return (text[at + 1 : close], close + 1) if close >= 0 and self._end.match(text, close + 1) else ("", -1)
         return "", -1
 
     def parse(self, text: str | None) -> list[tuple[str, str, str, str]]:
         """(key, value, kind, error flag) of each value, in the field's order."""
         if not text:
             return []
+        seen: dict = {}
         out, at, end, key = [], 0, len(text), ""  # what comes before the first key has no key and is dropped
         while at < end:
             if gap := self._gap.match(text, at):
@@ -100,10 +125,10 @@ class PackedGrammar:
             if m := self._sep.match(text, at):
                 at = m.end()
                 continue
-            value, stop, flag = self._quote(text, at)
+            value, stop, flag = self._quote(text, at, seen)
             kind = QUOTED
             if stop < 0 and self.brackets:
-                value, stop = self._bracket(text, at)
+                value, stop = self._bracket(text, at, seen)
                 kind = BRACKETED
             if stop < 0:
                 m = self._bare.match(text, at)

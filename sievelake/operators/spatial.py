@@ -23,8 +23,8 @@ from sievelake.staging import stage
 JOIN_LEVELS = (0, 4, 8, 11)
 #: Cells of a cover; refining stops there or at MAX_LEVEL. Bounds the cover, not the result.
 COVER_CELLS, MAX_LEVEL = 96, 16
-#: Ranges that may be broadcast (under 1 kB each with a polygon's edges); more are joined by shuffle with salted hot cells.
-BROADCAST_RANGES = 100_000
+#: Bytes of ranges that may be broadcast, counted before: 120 for a range and 32 for each edge it carries. More are joined by shuffle with salted hot cells.
+BROADCAST_BYTES, RANGE_BYTES, EDGE_BYTES = 64 << 20, 120, 32
 SALTS = 16
 
 
@@ -139,16 +139,23 @@ def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if edges is None:
                     continue
                 boxes = _split(edges[:, 0].min(), edges[:, 1].min(), edges[:, 0].max(), edges[:, 1].max())
-            shape = None if edges is None else [tuple(map(float, e)) for e in edges]
             west, east = (None, None) if edges is None else (float(edges[:, 1].min()), float(edges[:, 1].max()))
             for level, row, col, full in cover_cells(boxes, edges):
                 join = max(x for x in JOIN_LEVELS if x <= level)
+                # an edge outside a cell's latitudes crosses the parallel of no point in it
+                band = None if edges is None or full else [tuple(map(float, e)) for e in _in_band(edges, row, level)]
                 lo = _interleave(row << (BITS - level), col << (BITS - level))
                 hi = lo + (1 << 2 * (BITS - level)) - 1
-                out.append((r.place, join, lo >> 2 * (BITS - join), lo, hi, full, *((r.disc_lat, r.disc_lon, r.disc_km) if disc else (None,) * 3), west, east, None if full else shape))
+                out.append((r.place, join, lo >> 2 * (BITS - join), lo, hi, full, *((r.disc_lat, r.disc_lon, r.disc_km) if disc else (None,) * 3), west, east, band))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _RANGES.split(", ")])
 
 
+def _in_band(edges: np.ndarray, row: int, level: int) -> np.ndarray:
+    h = 180.0 / (1 << level)
+    south, north = row * h - 90.0 - 1e-9, (row + 1) * h - 90.0 + 1e-9
+    return edges[(np.minimum(edges[:, 0], edges[:, 2]) <= north) & (np.maximum(edges[:, 0], edges[:, 2]) >= south)]
+
+
 def cover_ranges(regions: DataFrame) -> DataFrame:
     """Code ranges of regions (place, disc_lat, disc_lon, disc_km, ring_lat, ring_lon), computed where the regions are."""
     return regions.mapInPandas(_ranges, _RANGES)
@@ -172,21 +179,22 @@ def points_in_regions(points: DataFrame, lat: str, lon: str, regions: DataFrame,
     way round. Points with null, NaN or out-of-range coordinates, and regions without a usable shape, meet nothing. Repeated
     points each keep their rows. All columns of ``points`` are kept; ``place`` may not be one of them.
 
-    Cover ranges are broadcast up to BROADCAST_RANGES (counted first); beyond, the join shuffles on the
+    Cover ranges carry the edges in their latitudes and are broadcast up to BROADCAST_BYTES (counted first); beyond, the join shuffles on the
     prefix, and prefixes that hold many points are salted, with their ranges repeated once per salt.
     """
     if place in points.columns:
         raise ValueError(f"points already have a column {place}")
     ranges = stage(cover_ranges(regions), "cover")
-    found = ranges.groupBy("join_level").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per join level
-    levels, total = sorted(r["join_level"] for r in found), sum(r["n"] for r in found)
+    n_edges = F.sum(F.greatest(F.size("edges"), F.lit(0)))
+    found = ranges.groupBy("join_level").agg((F.count(F.lit(1)) * RANGE_BYTES + n_edges * EDGE_BYTES).alias("bytes")).collect()  # at most one row per join level
+    levels, total = sorted(r["join_level"] for r in found), sum(r["bytes"] for r in found)
     kept = points.where(valid_point(F.col(lat), F.col(lon)))
     coded = kept.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("p"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"))
     coded = coded.withColumn("code", z_code(F.col("y"), F.col("x"))).withColumn("join_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.expr("cast(array() as array<int>)")))
     shift = F.lit(2 * BITS) - 2 * F.col("join_level")
     coded = coded.withColumn("prefix", F.expr("shiftright(code, %d - 2 * join_level)" % (2 * BITS)) if levels else shift.cast("long"))
     on = ["join_level", "prefix"]
-    if total <= BROADCAST_RANGES:
+    if total <= BROADCAST_BYTES:
         ranges = F.broadcast(ranges)
     else:
         hot = heavy_hashes(coded, on, 0.005)

@@ -35,10 +35,9 @@ def p1_query_profile(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("avg_price", F.round("avg_price", 2)).withColumn("first_ts", F.col("first_ts").cast("string")).withColumn("last_ts", F.col("last_ts").cast("string"))
 
 
-def p5_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Values of both packed fields with kind and error flag."""
+def packed_values(spark: SparkSession, sf: str, brackets: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     keys = [r["key_text"] for r in table(spark, sf, "filter_keys", ["key_text"]).collect() if r["key_text"]]  # a fixed list of 30
-    grammar = PackedGrammar(keys)
+    grammar = PackedGrammar(keys, brackets)
     log = table(spark, sf, "train", ["log_id", "search_infm_params_text"]).select(
         F.lit("train").alias("source_table"), F.col("log_id").cast("string").alias("rec_id"), F.col("search_infm_params_text").alias("packed")
     )
@@ -49,8 +48,14 @@ def p5_values(spark: SparkSession, sf: str) -> DataFrame:
     return split_packed(log, "packed", carry, grammar).unionByName(split_packed(items, "packed", carry, grammar))
 
 
+def p5_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of both packed fields with kind and error flag, brackets shielding separators."""
+    return packed_values(spark, sf, (("(", ")"), ("[", "]"), ("{", "}")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_values(spark, sf).select("source_table", "rec_id", "pos", "param_key", "param_value")
+    """Values of both packed fields as this data defines them: quoted or bare, brackets are characters."""
+    return packed_values(spark, sf).select("source_table", "rec_id", "pos", "param_key", "param_value")
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:

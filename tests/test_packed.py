@@ -63,3 +63,25 @@ def test_table(spark):
     with pytest.raises(ValueError):
         split_packed(df, "packed", ["pos"], G)
     assert split_packed(df, "packed", ["id"], G).schema[1].dataType == T.IntegerType()
+
+
+def test_malformed_fields_take_linear_time():
+    import time
+
+    grammar = PackedGrammar(["k"], (("(", ")"),))
+    for part in ('«x;', '"a;', '"a""b;', "(x;", '"";', '"""a;', "«»x;"):
+        text, began = "k " + part * (100_000 // len(part)), time.time()
+        assert grammar.parse(text) is not None
+        assert time.time() - began < 3, part
+
+
+@given(st.text(alphabet='"a; «»()', max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_doubled_signs_close_as_the_pattern_says(text):
+    """The value of a quote that opens a field's text, against the plain pattern."""
+    import re
+
+    got = PackedGrammar(["k"]).parse('k "' + text)
+    m = re.match(r'"((?:[^"]|"")*)"(?=\s*(?:[;|•\t\n\r\x0b\x0c]|\s/\s|,(?!\s)|\Z)|\s+k(?:[\s:;|]|\Z))', '"' + text)
+    if m and m[1].strip():
+        assert got[0][1] == m[1].replace('""', '"').strip() and got[0][2] == "quoted"

@@ -54,7 +54,7 @@ def world(seed, n=400):
 @pytest.mark.parametrize("bound", [10**6, 0])
 def test_equals_brute_force(spark, monkeypatch, bound):
     """Both ways to join: ranges broadcast, and by shuffle with salted hot cells."""
-    monkeypatch.setattr(spatial, "BROADCAST_RANGES", bound)
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", bound)
     points, regions = world(1)
     got = points_in_regions(spark.createDataFrame(points, POINT), "lat", "lon", spark.createDataFrame(regions, REGION)).collect()
     assert {(r["id"], r["place_id"]) for r in got} == brute(points, regions)
