@@ -401,6 +401,24 @@ def src_emb(spark, sf):
     return sources.vector_scores(q, items, "qi", "item_id", "embedding", sources.K["emb"], near=near_places(spark, sf), filtered=True, alpha=sources.ALPHA).select("qi", "item_id", "total")
 
 
+def plain(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(known items, log, queries) as the pipeline takes them, with tokens in the place of stems."""
+    joined = lambda c: F.array_join(X.tokens(F.col(c)), " ")
+    items = known_items(spark, sf, *[c for c in prep.ITEM_COLS if c != "item_id"])
+    known = items.withColumns({"t_title": joined("item_title_raw"), "t_params": joined("item_infm_params_text"), "t_desc": joined("item_description_raw")})
+    rows = table(spark, sf, "train", [*prep.SEARCH_COLS, "item_id", "log_id"]).withColumn("q_stem", joined("search_query"))
+    return stage(known, "known"), stage(rows, "pairs"), table(spark, sf, "benchmark_queries").withColumn("q_stem", joined("search_query"))
+
+
+def features_66(spark, sf):
+    """The candidates of all sources with their 66 features, on tokens instead of stems."""
+    known, rows, queries = plain(spark, sf)
+    ids = table(spark, sf, "emb_items_full", ["ci", "item_id"]).dropDuplicates(["ci"])
+    ctx = pipeline.Context.build(known.where("in_bench"), known, rows, position="log_id", vectors=vectors(spark, sf).join(ids, "ci").select("item_id", "embedding"))
+    out = pipeline.candidates(ctx, queries, query_vectors(spark, sf))
+    return out.select("qi", "item_id", *[F.round(F.col(c).cast("double"), 4).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) for c, t in out.dtypes if c not in ("qi", "item_id")])
+
+
 def bm25_location_topk(spark, sf):
     """BM25 and twice the log prior of the item's location, without filters."""
     q = sources.query_side(table(spark, sf, "benchmark_queries", ["qi", "search_location_id"]), None)
@@ -529,7 +547,14 @@ def answer_string_agg(spark, sf):
 
 
 def answer_validation(spark, sf):
-    return evaluate.check_answers(stage(answer_rows(spark, sf), "answers"), table(spark, sf, "benchmark_queries", ["query_id"]), table(spark, sf, "benchmark_items", ["item_id"]))
+    """What the check finds in an answer file with planted errors: of each seven queries one left out, one answered twice, one with an unknown item, one with a repeated item, one renamed, one with too many items."""
+    ids = table(spark, sf, "benchmark_queries", ["qi", "query_id"])
+    kind, answer = F.col("qi") % 7, F.col("answer")
+    many = F.lit(" ".join(f"new{i}" for i in range(51)))
+    text = F.when(kind == 2, F.concat(answer, F.lit(" unknown"))).when(kind == 3, F.concat(answer, F.lit(" "), F.split_part(answer, F.lit(" "), F.lit(1)))).when(kind == 5, F.concat_ws(" ", answer, many)).otherwise(answer)
+    rows = answer_rows(spark, sf).join(ids, "query_id").where(kind != 0).withColumn("answer", text).withColumn("copy", F.explode(F.when(kind == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    given = rows.select(F.when(kind == 4, F.concat(F.lit("x"), "query_id")).otherwise(F.col("query_id")).alias("query_id"), "answer")
+    return evaluate.check_answers(stage(given, "answers"), ids.select("query_id"), table(spark, sf, "benchmark_items", ["item_id"]))
 
 
 def row_normalize_topk(spark, sf):
@@ -584,7 +609,7 @@ QUERIES = {
         first_by_position, union_precedence, ordered_distinct_list, event_all_in_corpus, md5_bucket_split, sample_exact_n, validation_events, anti_join_fit, split_leakage,
         whole_sample_exact_n, whole_validation_events, whole_anti_join_fit, whole_split_leakage,
         location_conditional, location_median_centroid, haversine_distance, location_log_prior, filter_match_fraction,
-        bm25_location_topk, microcat_topk, popular_topk, src_all, src_title, src_prof, src_tr, src_hist, src_mc, src_emb, embedding_topk, embedding_global_max, candidate_union_flags, candidate_lookup_default,
+        bm25_location_topk, microcat_topk, popular_topk, src_all, src_title, src_prof, src_tr, src_hist, src_mc, src_emb, features_66, embedding_topk, embedding_global_max, candidate_union_flags, candidate_lookup_default,
         relative_to_max, rank_min, base_score_rank, label_join, recall_at_k, mean_recall, recall_ceiling, per_source_recall, group_has_positive,
         answer_string_agg, answer_validation, row_normalize_topk, feature_vector_wide, feature_gain, ranker_score, tower_vectors, pipeline_answer,
     )

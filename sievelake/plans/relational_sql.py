@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelake.functions.text import STOPWORDS
+from sievelake.functions.text import ADDRESS_KEY, ADDRESS_STOPS, FILTER_KEYS, SCHEDULE_KEYS, STOPWORDS, STRICT_KEYS, java_escape
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -87,6 +87,33 @@ prior AS (SELECT dist.s, dist.loc, km, p, ln(greatest(coalesce(p, 0.0), CASE WHE
 #: All pairs of a query and an item with the prior, the floor where a location is null.
 AT = "JOIN benchmark_queries b USING (qi) JOIN corpus c USING (item_id) LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc"
 LP = "coalesce(lp, ln(1e-4))"
+_KEYS = "|".join(java_escape(k).replace(" ", "  ") for k in sorted(FILTER_KEYS, key=len, reverse=True))
+_STRICT = ", ".join(f"'{k}'" for k in STRICT_KEYS)
+_WS = r"[\s\x{a0}]"
+
+
+def fpairs(x: str) -> str:
+    """List of {k, v} of a filter text: every blank is doubled, so that each key has its own on either side, keys are marked, the text is split at the marks, and blanks are halved again."""
+    from_first = rf"regexp_extract(regexp_replace({x}, '({_WS})', '\1\1', 'g'), '(?s)(?:{_KEYS})(?:{_WS}|$).*')"
+    marked = rf"regexp_replace({from_first}, '(^|{_WS})({_KEYS})({_WS}|$)', chr(1) || '\2' || chr(2), 'g')"
+    half = lambda y: rf"regexp_replace({y}, '({_WS}){_WS}', '\1', 'g')"
+    value = rf"regexp_replace(split_part(y, chr(2), 2), '^{_WS}+|{_WS}+$', '', 'g')"
+    one = "{'k': " + half("split_part(y, chr(2), 1)") + ", 'v': " + half(value) + "}"
+    return f"list_filter(list_transform(string_split({marked}, chr(1))[2:], lambda y: {one}), lambda z: z.v <> '' AND NOT contains(z.v, chr(10)))"
+
+
+WISHES = f"""wishes AS (SELECT qi, unnest({fpairs('search_infm_params_text')}) x FROM benchmark_queries),
+wanted AS (SELECT qi, x.k k, x.v v, count(*) OVER (PARTITION BY qi) nc FROM wishes WHERE x.k IN ({_STRICT})),
+vals AS (SELECT DISTINCT x.k k, x.v v FROM (SELECT unnest({fpairs('search_infm_params_text')}) x FROM (SELECT DISTINCT search_infm_params_text FROM train)) WHERE x.k IN ({_STRICT})),
+have AS (SELECT item_id, k, v FROM (SELECT item_id, k, v, row_number() OVER (PARTITION BY item_id, k ORDER BY instr(p || ' ', k || ' ' || v || ' '), length(v) DESC) rn
+  FROM corpus JOIN vals ON instr(p || ' ', k || ' ' || v || ' ') > 0 AND NOT (k = 'Тип услуги' AND v || ' ' LIKE 'автосервиса %')) WHERE rn = 1),
+fbs AS (SELECT qi, item_id, count(DISTINCT k) / any_value(nc) fb FROM wanted JOIN have USING (k, v) GROUP BY 1, 2)"""
+WITH_FB = "LEFT JOIN fbs USING (qi, item_id)"
+FB = "0.5 * coalesce(fb, 0)"
+QPROF = f"""p0 AS (SELECT qi, term, sum(sim * sim * value) v FROM near JOIN prof USING (qn) GROUP BY 1, 2), p1 AS (SELECT qi, term, round(v / greatest(sum(v) OVER (PARTITION BY qi), 1e-9), 6) AS value FROM p0),
+qprof AS (SELECT qi, term, value FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY value DESC, term) rn FROM p1) WHERE rn <= 30)"""
+QTRANS = """x0 AS (SELECT qi, trans.term, sum(value) v FROM q JOIN trans ON trans.source = q.term GROUP BY 1, 2), x1 AS (SELECT qi, term, round(v / greatest(sum(v) OVER (PARTITION BY qi), 1e-9), 6) AS value FROM x0),
+qtrans AS (SELECT qi, term, value FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY value DESC, term) rn FROM x1) WHERE rn <= 30)"""
 KEY = "search_query, search_location_id, search_infm_params_text, search_category, search_is_delivery_search"
 KEYED = " AND ".join(f"{c} IS NOT NULL" for c in KEY.split(", "))
 
@@ -158,6 +185,24 @@ SQL = {
     "location_log_prior": f"WITH {PLACED}, {PRIOR} SELECT s AS s_loc, loc AS item_loc, round(km, 4) AS loc_dist, round(lp, 6) AS loc_logp FROM prior WHERE p IS NOT NULL OR s = loc OR km <= 1000",
     "bm25_location_topk": f"WITH {DOCS}, {ASKED}, {PLACED.replace(CORPUS + ',', '')}, {PRIOR}, sc AS (SELECT qi, item_id, sum(w) sc FROM q JOIN post USING (term) GROUP BY 1, 2) "
     + topk(f"SELECT sc.qi, sc.item_id, round(sc + 2 * {LP}, 6) score FROM sc {AT}", 200, cols="qi, item_id"),
+    "src_all": f"WITH {DOCS}, {ASKED}, {PLACED.replace(CORPUS + ',', '')}, {PRIOR}, {WISHES}, sc AS (SELECT qi, item_id, sum(w) sc FROM q JOIN post USING (term) GROUP BY 1, 2) "
+    + topk(f"SELECT qi, item_id, round(sc + 2 * {LP} + {FB}, 6) score FROM sc {AT} {WITH_FB}", 200, cols="qi, item_id"),
+    "src_title": f"WITH {PLACED}, {TITLE}, {ASKED}, {PRIOR}, {WISHES}, sc AS (SELECT qi, item_id, sum(w) sc FROM q JOIN tpost USING (term) GROUP BY 1, 2) "
+    + topk(f"SELECT qi, item_id, round(sc + 2 * {LP} + {FB}, 6) score FROM sc {AT} {WITH_FB}", 100, cols="qi, item_id"),
+    "src_prof": f"WITH {NEAR}, {PROFILE}, {QPROF}, {TITLE}, {PLACED.replace(KNOWN + ', ', '')}, {PRIOR}, {WISHES}, sc AS (SELECT qi, item_id, sum(value * w) sc FROM qprof JOIN tpost USING (term) GROUP BY 1, 2) "
+    + topk(f"SELECT qi, item_id, round(sc + 2 * {LP} + {FB}, 6) score FROM sc {AT} {WITH_FB}", 100, cols="qi, item_id"),
+    "src_tr": f"WITH {LOG}, {PROFILE}, {TRANS}, {ASKED}, {QTRANS}, {TITLE}, {PLACED.replace(KNOWN + ', ', '')}, {PRIOR}, {WISHES}, sc AS (SELECT qi, item_id, sum(value * w) sc FROM qtrans JOIN tpost USING (term) GROUP BY 1, 2) "
+    + topk(f"SELECT qi, item_id, round(sc + 2 * {LP} + {FB}, 6) score FROM sc {AT} {WITH_FB}", 100, cols="qi, item_id"),
+    "src_hist": f"WITH {NEAR}, {PLACED}, {PRIOR}, cl AS (SELECT qn, item_id, count(*) n FROM log WHERE item_id IN (SELECT item_id FROM corpus) GROUP BY 1, 2), sc AS (SELECT qi, item_id, sum(sim * sim * n) sc FROM near JOIN cl USING (qn) GROUP BY 1, 2) "
+    + topk(f"SELECT qi, item_id, round(ln(sc + 1e-3) + {LP}, 6) score FROM sc {AT}", 50, cols="qi, item_id"),
+    "src_mc": f"WITH {NEAR}, {PLACED}, {SHARES}, {PMC}, {PRIOR}, {WISHES}, qs AS (SELECT qi, search_location_id s FROM benchmark_queries WHERE qi IN (SELECT qi FROM pmc)) "
+    + topk(f"SELECT qs.qi, c.item_id, round(ln(coalesce(pmc.pmc, 0.0) + 1e-3) + 2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)) + {FB}, 6) score FROM qs CROSS JOIN corpus c LEFT JOIN prior ON prior.s = qs.s AND prior.loc = c.loc LEFT JOIN pmc ON pmc.qi = qs.qi AND pmc.mc = c.mc LEFT JOIN fbs ON fbs.qi = qs.qi AND fbs.item_id = c.item_id", 50, cols="qi, item_id"),
+    "src_emb": f"WITH {VEC}, {IDS}, {PLACED}, {PRIOR}, {WISHES} "
+    + topk(f"SELECT b.qi, c.item_id, round(40 * round(list_cosine_similarity(a.e, i.e), 6) + 2 * {LP} + {FB}, 6) total FROM v a JOIN benchmark_queries b ON b.qi = a.ci CROSS JOIN v i JOIN ids ON ids.ci = i.ci JOIN corpus c ON c.item_id = ids.item_id LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc LEFT JOIN fbs ON fbs.qi = b.qi AND fbs.item_id = c.item_id", 100, "total DESC, item_id", cols="qi, item_id, total"),
+    "parse_filters": f"SELECT qi, pos::INT AS pos, ps[pos + 1].k AS filter_key, ps[pos + 1].v AS filter_value FROM (SELECT qi, ps, unnest(range(0, len(ps))) pos FROM (SELECT qi, {fpairs('search_infm_params_text')} ps FROM benchmark_queries))",
+    "required_phrases": f"SELECT qi, coalesce(array_to_string(list_transform(list_filter(coalesce({fpairs('search_infm_params_text')}, []), lambda x: x.k IN ({_STRICT})), lambda x: x.k || ' ' || x.v), '|'), '') AS phrases FROM benchmark_queries",
+    "filter_match_fraction": f"WITH {CORPUS}, {WISHES} SELECT qi, item_id, round(fb, 6) AS fb FROM fbs",
+    "params_without_place": f"WITH {CORPUS} SELECT item_id, regexp_replace(regexp_replace(coalesce(p, ''), '{java_escape(ADDRESS_KEY)}.*?( (?:{'|'.join(java_escape(x) for x in ADDRESS_STOPS)})|$)', ' \\1', 'g'), '(?:{'|'.join(SCHEDULE_KEYS)})[^А-ЯЁ]*', ' ', 'g') AS params FROM corpus",
     "microcat_topk": f"WITH {NEAR}, {PLACED}, {SHARES}, {PMC}, {PRIOR}, qs AS (SELECT qi, search_location_id s FROM benchmark_queries WHERE qi IN (SELECT qi FROM pmc)) "
     + topk(f"SELECT qs.qi, c.item_id, round(ln(coalesce(pmc.pmc, 0.0) + 1e-3) + 2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM qs CROSS JOIN corpus c LEFT JOIN prior ON prior.s = qs.s AND prior.loc = c.loc LEFT JOIN pmc ON pmc.qi = qs.qi AND pmc.mc = c.mc", 50, cols="qi, item_id"),
     "popular_topk": f"WITH {PLACED}, {PRIOR} " + topk(f"SELECT b.qi, c.item_id, round(2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM benchmark_queries b CROSS JOIN corpus c LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc", 50, cols="qi, item_id"),
@@ -175,7 +220,18 @@ SQL = {
     "per_source_recall": f"WITH {ONCE} " + " UNION ALL ".join(f"(SELECT '{n}' AS source, round(avg(coalesce(h, 0) / n_relevant), 6) AS recall FROM rel LEFT JOIN (SELECT qi, sum(CASE WHEN src_{n} = 1 THEN label ELSE 0 END) h FROM once GROUP BY 1) USING (qi))" for n in SRC),
     "group_has_positive": "SELECT qi, count(*) AS n_rows, sum(label)::BIGINT AS n_positive FROM candidates GROUP BY 1 HAVING max(label) > 0",
     "answer_string_agg": f"WITH {RECALL.split(', top AS')[0]}, {IDS}, top AS (" + topk("SELECT qi, item_id, score FROM once JOIN ids USING (ci) WHERE score IS NOT NULL", 50, "score DESC, item_id") + "), a AS (SELECT qi, string_agg(item_id, ' ' ORDER BY rnk) answer FROM top GROUP BY 1) SELECT query_id, coalesce(answer, '') AS answer FROM benchmark_queries LEFT JOIN a USING (qi)",
-    "answer_validation": "SELECT unnest(['repeated query', 'query without answer', 'unknown query', 'too many items', 'repeated item', 'unknown item']) AS problem, 0::BIGINT AS n",
+    "answer_validation": f"WITH {RECALL.split(', top AS')[0]}, {IDS}, top AS (" + topk("SELECT qi, item_id, score FROM once JOIN ids USING (ci) WHERE score IS NOT NULL", 50, "score DESC, item_id") + """), a AS (SELECT qi, string_agg(item_id, ' ' ORDER BY rnk) answer FROM top GROUP BY 1),
+ans AS (SELECT qi, query_id, coalesce(answer, '') answer FROM benchmark_queries LEFT JOIN a USING (qi)),
+given AS (SELECT CASE WHEN qi % 7 = 4 THEN 'x' || query_id ELSE query_id END query_id,
+    CASE qi % 7 WHEN 2 THEN answer || ' unknown' WHEN 3 THEN answer || ' ' || split_part(answer, ' ', 1) WHEN 5 THEN answer || ' ' || array_to_string(list_transform(range(0, 51), lambda i: 'new' || i), ' ') ELSE answer END answer
+  FROM ans CROSS JOIN (SELECT unnest([1, 2]) copy) WHERE qi % 7 <> 0 AND (copy = 1 OR qi % 7 = 1)),
+parts AS (SELECT query_id, list_filter(string_split(answer, ' '), lambda x: x <> '') ids FROM given)
+SELECT 'repeated query' AS problem, count(*) AS n FROM (SELECT query_id FROM parts GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'query without answer', count(*) FROM benchmark_queries WHERE query_id NOT IN (SELECT query_id FROM parts)
+UNION ALL SELECT 'unknown query', count(*) FROM parts WHERE query_id NOT IN (SELECT query_id FROM benchmark_queries)
+UNION ALL SELECT 'too many items', count(*) FROM parts WHERE len(ids) > 50
+UNION ALL SELECT 'repeated item', count(*) FROM parts WHERE len(list_distinct(ids)) < len(ids)
+UNION ALL SELECT 'unknown item', count(*) FROM (SELECT unnest(ids) id FROM parts) WHERE id NOT IN (SELECT item_id FROM benchmark_items WHERE item_id IS NOT NULL)""",
     "row_normalize_topk": "WITH o AS (SELECT qi, ci, max(bm_all::DOUBLE) v FROM candidates GROUP BY 1, 2 HAVING max(bm_all) > 0), s AS (SELECT qi, ci, round(v / greatest(sum(v) OVER (PARTITION BY qi), 1e-9), 6) AS share FROM o) " + topk("SELECT * FROM s", 30, "share DESC, ci", cols="qi, ci, share"),
     "feature_vector_wide": f"""WITH c AS (SELECT item_id, min(item_title_raw) t, min(item_description_raw) d, min(item_rating) r, min(item_rating_reviews_count) n, min(item_price) p, min(item_is_phone_hidden) ph, min(item_is_message_forbidden) mf, min(item_category_id) cat FROM benchmark_items WHERE item_id IS NOT NULL GROUP BY 1)
 SELECT item_id, round(coalesce(r, -1.0), 6) AS rating, round(ln(1 + coalesce(n, 0)), 6) AS reviews, round(ln(1 + CASE WHEN p IS NULL THEN NULL ELSE least(greatest(p, 0.0), 1e7) END), 6) AS log_price, ph::INT::DOUBLE AS phone_hidden, mf::INT::DOUBLE AS msg_forbidden,
