@@ -142,6 +142,57 @@ VEC = "v AS (SELECT ci, min(embedding::DOUBLE[]) e FROM emb_items_full WHERE len
 SIM = f"{VEC}, s AS (SELECT a.ci q_ci, b.ci, round(list_cosine_similarity(a.e, b.e), 6) sim FROM v a JOIN v b ON a.ci % 100 = 0)"
 _REL = lambda c, t="DOUBLE": f"round(nullif_nan({c}) / CASE WHEN max(nullif_nan({c})) OVER w > 0 THEN max(nullif_nan({c})) OVER w ELSE 1 END, 5) + 0.0".replace(f"nullif_nan({c})", f"(CASE WHEN isnan({c}) THEN NULL ELSE {c}::{t} END)")
 _RANK = lambda c: f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN rank() OVER (PARTITION BY qi ORDER BY CASE WHEN isnan({c}) THEN NULL ELSE {c} END DESC NULLS LAST) END"
+def bm25(name: str, words: str, b: float) -> str:
+    """Postings (item_id, term, idf, w) of a field of the corpus, as ``name``."""
+    return f"""{name}_d AS (SELECT item_id, {words} w FROM corpus), {name}_c AS (SELECT item_id, dl, term, count(*) tf FROM (SELECT item_id, len(w) dl, unnest(w) term FROM {name}_d) GROUP BY ALL),
+{name}_s AS (SELECT count(*)::DOUBLE n, CASE WHEN avg(len(w)) > 0 THEN avg(len(w)) ELSE 1.0 END a FROM {name}_d),
+{name}_i AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf FROM (SELECT term, count(*) df FROM {name}_c GROUP BY 1), {name}_s),
+{name} AS (SELECT item_id, term, idf, idf * tf * 2.2 / (tf + 1.2 * (1 - {b} + {b} * dl / a)) w FROM {name}_c JOIN {name}_i USING (term), {name}_s)"""
+
+
+def source(name: str, inner: str, k: int) -> str:
+    return f"src_{name} AS (SELECT qi, item_id, '{name}' src FROM ({topk(inner, k)}))"
+
+
+_SCORES = {"title": ("q", "1", "tpost"), "params": ("q", "1", "ppost"), "desc": ("q", "1", "dpost"), "all": ("q", "1", "post"), "prof": ("qprof", "value", "tpost"), "tr": ("qtrans", "value", "tpost")}
+_REL9 = ["bm_title", "bm_all", "bm_prof", "bm_tr", "bm_desc", "emb_sim", "pmc", "loc_logp", "reviews"]
+_FULL = f"SELECT qi, item_id, round(sc + 2 * {LP} + {FB}, 6) score FROM {{}} sc {AT} {WITH_FB}"
+FEATURES = (
+    f"WITH {NEAR}, {PROFILE}, {QPROF}, {TRANS}, {ASKED}, {QTRANS}, {PLACED.replace(KNOWN + ', ', '')}, {PRIOR}, {WISHES}, {PMC}, {VEC}, {IDS}, "
+    + ", ".join(bm25(n, w, b) for n, w, b in (("post", f"list_concat(list_concat({toks('t')}, {toks('t')}), list_concat({toks('p')}, {toks('d')}))", 0.75), ("tpost", toks("t"), 0.5), ("ppost", toks("p"), 0.75), ("dpost", toks("d"), 0.75)))
+    + "".join(f", s_{n} AS (SELECT qi, item_id, sum({v} * w) sc, sum(idf) m FROM {a} JOIN {p} USING (term) GROUP BY 1, 2)" for n, (a, v, p) in _SCORES.items())
+    + """, cl AS (SELECT qn, item_id, count(*) n FROM log WHERE item_id IN (SELECT item_id FROM corpus) GROUP BY 1, 2),
+hist AS (SELECT qi, item_id, sum(sim * sim * n) sc, sum(CASE WHEN sim > 0.99 THEN n ELSE 0 END) ex FROM near JOIN cl USING (qn) GROUP BY 1, 2),
+qs AS (SELECT qi, search_location_id s FROM benchmark_queries WHERE qi IN (SELECT qi FROM pmc)),
+cosines AS (SELECT b.qi, c.item_id, list_cosine_similarity(a.e, i.e) sim FROM v a JOIN benchmark_queries b ON b.qi = a.ci CROSS JOIN v i JOIN ids ON ids.ci = i.ci JOIN corpus c ON c.item_id = ids.item_id), """
+    + ", ".join(source(n, _FULL.format(f"s_{n}"), k) for n, k in (("all", 200), ("title", 100), ("prof", 100), ("tr", 100)))
+    + ", " + source("hist", f"SELECT qi, item_id, round(ln(sc + 1e-3) + {LP}, 6) score FROM hist sc {AT}", 50)
+    + ", " + source("mc", f"SELECT qs.qi, c.item_id, round(ln(coalesce(pmc.pmc, 0.0) + 1e-3) + 2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)) + {FB}, 6) score FROM qs CROSS JOIN corpus c LEFT JOIN prior ON prior.s = qs.s AND prior.loc = c.loc LEFT JOIN pmc ON pmc.qi = qs.qi AND pmc.mc = c.mc LEFT JOIN fbs ON fbs.qi = qs.qi AND fbs.item_id = c.item_id", 50)
+    + ", " + source("emb", f"SELECT qi, item_id, round(40 * round(sim, 6) + 2 * {LP} + {FB}, 6) score FROM cosines {AT} {WITH_FB}", 100)
+    + ", found AS (" + " UNION ALL ".join(f"FROM src_{n}" for n in ("all", "title", "prof", "tr", "hist", "mc", "emb")) + "), "
+    + source("pop", f"SELECT b.qi, c.item_id, round(2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)), 6) score FROM benchmark_queries b CROSS JOIN corpus c LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc WHERE b.qi NOT IN (SELECT qi FROM found)", 50)
+    + ", flags AS (SELECT qi, item_id, " + ", ".join(f"max(CASE WHEN src = '{n}'{' OR src = ' + chr(39) + 'pop' + chr(39) if n == 'mc' else ''} THEN 1 ELSE 0 END)::BIGINT src_{n}" for n in ("all", "title", "prof", "tr", "hist", "mc", "emb"))
+    + " FROM (FROM found UNION ALL FROM src_pop) GROUP BY 1, 2),\n"
+    + """more AS (SELECT item_id, min(item_rating) r, min(item_price) price, min(item_is_phone_hidden) ph, min(item_is_message_forbidden) mf, min(item_category_id) cat FROM benchmark_items WHERE item_id IS NOT NULL GROUP BY 1),
+qi_idf AS (SELECT qi, sum(idf) q_idf, count(idf)::DOUBLE q_nknown FROM q JOIN post_i USING (term) GROUP BY 1),
+base0 AS (SELECT f.*, """
+    + ", ".join(f"round(coalesce(x_{n}.sc, 0.0), 6) bm_{n}" for n in _SCORES)
+    + f""", coalesce(q_idf, 0.0) q_idf, coalesce(q_nknown, 0.0) q_nknown, coalesce(x_title.m, 0.0) / greatest(coalesce(q_idf, 0.0), 1e-6) cov_title, coalesce(x_all.m, 0.0) / greatest(coalesce(q_idf, 0.0), 1e-6) cov_all,
+  coalesce(round(cosines.sim, 6), 0.0) emb_sim, coalesce((SELECT max(round(z.sim, 6)) FROM cosines z WHERE z.qi = f.qi), 0.0) emb_sim_max, coalesce(hist.sc, 0.0) hist_nb, coalesce(hist.ex, 0)::DOUBLE hist_exact,
+  ln(1 + (SELECT count(*) FROM log WHERE log.item_id = f.item_id)) hist_cnt, coalesce(prior.p, 0.0) loc_p, CASE WHEN b.search_location_id = c.loc THEN 1.0 ELSE 0.0 END loc_same, ln(1 + coalesce(km, 5000.0)) loc_dist, round({LP}, 6) loc_logp,
+  coalesce((SELECT any_value(nc) FROM wanted w WHERE w.qi = f.qi), 0)::DOUBLE q_ncons, coalesce(fb, 0.0) fb, round(coalesce(pmc.pmc, 0.0), 6) pmc, coalesce((SELECT max(z.pmc) FROM pmc z WHERE z.qi = f.qi), 0.0) pmc_max,
+  coalesce(r, -1.0) rating, ln(1 + coalesce(nrev, 0)) reviews, ln(1 + CASE WHEN price IS NULL THEN NULL ELSE least(greatest(price, 0.0), 1e7) END) log_price, ph::INT::DOUBLE phone_hidden, mf::INT::DOUBLE msg_forbidden,
+  greatest(len({toks('t')}), 1)::DOUBLE title_len, greatest(len({toks('d')}) - 1, 0)::DOUBLE desc_len, (CASE WHEN cat = 114 THEN 1 ELSE 0 END)::BIGINT cat114, len({toks('b.search_query')})::DOUBLE q_nterms,
+  coalesce((SELECT max(sim) FROM near WHERE near.qi = f.qi), 0.0) q_nb_max, (SELECT count(*) FROM near WHERE near.qi = f.qi)::DOUBLE q_nb_cnt, CASE WHEN b.search_location_id IN (SELECT loc FROM corpus WHERE loc IS NOT NULL) THEN 0.0 ELSE 1.0 END q_region,
+  ln(1 + (SELECT count(*) FROM placed WHERE placed.s = b.search_location_id)) q_loc_n, count(*) OVER (PARTITION BY f.qi)::DOUBLE q_ncand
+FROM flags f JOIN benchmark_queries b USING (qi) JOIN corpus c USING (item_id) JOIN more USING (item_id) LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc LEFT JOIN fbs USING (qi, item_id)
+  LEFT JOIN hist USING (qi, item_id) LEFT JOIN cosines USING (qi, item_id) LEFT JOIN pmc ON pmc.qi = f.qi AND pmc.mc = c.mc LEFT JOIN qi_idf ON qi_idf.qi = f.qi """
+    + " ".join(f"LEFT JOIN s_{n} x_{n} ON x_{n}.qi = f.qi AND x_{n}.item_id = f.item_id" for n in _SCORES)
+    + "),\nbased AS (SELECT * EXCLUDE (fb), CASE WHEN q_ncons > 0 THEN fb ELSE -1.0 END filt_frac, bm_all + 2 * loc_logp base, 40 * emb_sim + 2 * loc_logp emb_base, "
+    + ", ".join(f"{c} / CASE WHEN max({c}) OVER w > 0 THEN max({c}) OVER w ELSE 1 END {c}_rel, rank() OVER (w ORDER BY {c} DESC) {c}_rank" for c in _REL9)
+    + " FROM base0 WINDOW w AS (PARTITION BY qi)), ranked AS (SELECT *, rank() OVER (PARTITION BY qi ORDER BY base DESC) base_rank, rank() OVER (PARTITION BY qi ORDER BY emb_base DESC) emb_base_rank FROM based)\n"
+    + "SELECT qi, item_id, COLUMNS('^(src_.*|cat114|.*_rank)$'), round(COLUMNS(lambda c: NOT regexp_matches(c, '^(qi|item_id|src_.*|cat114|.*_rank)$')), 6) FROM ranked"
+)
 SRC = ("all", "title", "prof", "tr", "hist", "mc", "emb")
 
 SQL = {
@@ -199,6 +250,7 @@ SQL = {
     + topk(f"SELECT qs.qi, c.item_id, round(ln(coalesce(pmc.pmc, 0.0) + 1e-3) + 2 * {LP} + 0.1 * ln(1 + coalesce(nrev, 0)) + {FB}, 6) score FROM qs CROSS JOIN corpus c LEFT JOIN prior ON prior.s = qs.s AND prior.loc = c.loc LEFT JOIN pmc ON pmc.qi = qs.qi AND pmc.mc = c.mc LEFT JOIN fbs ON fbs.qi = qs.qi AND fbs.item_id = c.item_id", 50, cols="qi, item_id"),
     "src_emb": f"WITH {VEC}, {IDS}, {PLACED}, {PRIOR}, {WISHES} "
     + topk(f"SELECT b.qi, c.item_id, round(40 * round(list_cosine_similarity(a.e, i.e), 6) + 2 * {LP} + {FB}, 6) total FROM v a JOIN benchmark_queries b ON b.qi = a.ci CROSS JOIN v i JOIN ids ON ids.ci = i.ci JOIN corpus c ON c.item_id = ids.item_id LEFT JOIN prior ON prior.s = b.search_location_id AND prior.loc = c.loc LEFT JOIN fbs ON fbs.qi = b.qi AND fbs.item_id = c.item_id", 100, "total DESC, item_id", cols="qi, item_id, total"),
+    "features_66": FEATURES,
     "parse_filters": f"SELECT qi, pos::INT AS pos, ps[pos + 1].k AS filter_key, ps[pos + 1].v AS filter_value FROM (SELECT qi, ps, unnest(range(0, len(ps))) pos FROM (SELECT qi, {fpairs('search_infm_params_text')} ps FROM benchmark_queries))",
     "required_phrases": f"SELECT qi, coalesce(array_to_string(list_transform(list_filter(coalesce({fpairs('search_infm_params_text')}, []), lambda x: x.k IN ({_STRICT})), lambda x: x.k || ' ' || x.v), '|'), '') AS phrases FROM benchmark_queries",
     "filter_match_fraction": f"WITH {CORPUS}, {WISHES} SELECT qi, item_id, round(fb, 6) AS fb FROM fbs",
