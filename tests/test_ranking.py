@@ -101,3 +101,57 @@ def test_answers_and_checks(spark, tmp_path):
 def test_clip_keeps_null(spark):
     r = spark.createDataFrame([(-1.0,), (2e7,), (None,)], "x double").select(features.clipped(F.col("x"), 0.0, 1e7).alias("y")).collect()
     assert [x["y"] for x in r] == [0.0, 1e7, None]
+
+
+def test_known_values_by_join_equal_those_by_pattern(spark, monkeypatch):
+    from sievelake.operators import filters
+
+    log = spark.createDataFrame([("Тип услуги Шины и диски Вид услуги Ремонт",), ("Тип услуги Шины",), ("Тип услуги автосервиса Мойка кузова",), (None,)], "search_infm_params_text string")
+    texts = ["Тип услуги Шины и диски", "Тип услуги автосервиса Шины", "x Тип услуги Шинысты Тип услуги Шины Вид услуги Ремонт", "Тип услуги автосервиса Мойка кузова Тип услуги Шины и диски", None, "", "Вид услуги Ремонт"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, p string")
+    values = filters.known_values(log)
+    some = {tuple(r) for r in filters.item_values(items, "item_id", "p", values).collect()}
+    monkeypatch.setattr(filters, "PATTERN_VALUES", 0)
+    assert {tuple(r) for r in filters.item_values(items, "item_id", "p", values).collect()} == some
+    assert (0, "Тип услуги", "Шины и диски") in some and (1, "Тип услуги", "Шины") not in some and (2, "Тип услуги", "Шины") in some
+
+
+def test_blocks_of_queries_give_what_one_block_gives(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sievelake.operators import sources
+    from sievelake.operators.querylog import neighbours
+
+    rng = random.Random(3)
+    rows = lambda n, at: [(at + i, [rng.gauss(0, 1) for _ in range(4)], rng.choice([1, 2, 3, None]), rng.choice([["a"], ["b", "c"], None])) for i in range(n)]
+    items = spark.createDataFrame(rows(60, 0) + [(900, None, 1, None), (901, [0.0] * 4, 1, None), (902, [1.0, 2.0], 1, None)], "item long, v array<double>, item_loc long, codes array<string>")
+    queries = spark.createDataFrame(rows(17, 0), "q long, v array<double>, s_loc long, wants array<string>").withColumn("n_cons", F.size("wants").cast("long"))
+    near = spark.createDataFrame([(1, 1, -0.5), (1, 2, -3.0), (2, 3, -1.0)], "s_loc long, item_loc long, loc_logp double")
+    run = lambda size: {tuple(r) for r in sources.vector_scores(queries, items, "q", "item", "v", 5, near=near, filtered=True, alpha=40.0, size=size).collect()}
+    whole = run(10_000)
+    assert len(whole) == 17 * 5 and whole == run(4)
+    monkeypatch.setattr(sources, "PRIOR_ROWS", 1)
+    assert whole == run(10_000)
+    texts = spark.createDataFrame([(f"ремонт {w} {i % 4}",) for i, w in enumerate("окна двери стены полы окон дверей".split() * 4)], "qn string")
+    asked = spark.createDataFrame([(i, f"ремонт {w}") for i, w in enumerate(["окна", "дверь", "стен", "zzz"])], "qi int, qn string")
+    one = {tuple(r) for r in neighbours(asked, texts).collect()}
+    monkeypatch.setattr("sievelake.operators.querylog.TEXT_BLOCK", 1)
+    assert one and {tuple(r) for r in neighbours(asked, texts).collect()} == one
+    assert neighbours(asked.limit(0), texts).count() == 0 and neighbours(asked, texts.limit(0)).count() == 0
+
+
+def test_owned_tables_go_with_their_block(spark):
+    import os
+
+    from sievelake.staging import drop_staged, owned, stage
+
+    with owned(spark):
+        kept = stage(spark.range(3), "mine")
+        path = kept._staged
+        assert os.path.exists(path) and kept.count() == 3
+    assert not os.path.exists(path)
+    other = stage(spark.range(3), "other")
+    drop_staged(other)
+    assert not os.path.exists(other._staged)
