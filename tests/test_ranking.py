@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.operators import embed, evaluate, features, location, ranker, split, windows
+from sievelake.operators import embed, evaluate, features, location, ranker, search, split, windows
 from sievelake.operators.filters import match_fraction, query_values
 from sievelake.operators.index import Bm25Index, query_terms, sparse_topk
+from sievelake.plans import reference_queries
 from sievelake.sources import files
 
 
@@ -155,3 +156,64 @@ def test_owned_tables_go_with_their_block(spark):
     other = stage(spark.range(3), "other")
     drop_staged(other)
     assert not os.path.exists(other._staged)
+
+
+def _brute(q, docs, k, near, filtered, decimals=6):
+    """Best documents by single sums over all pairs."""
+    n, avg = len(docs), sum(len(d[1]) for d in docs) / len(docs)
+    df = {t: sum(t in d[1] for d in docs) for d in docs for t in d[1]}
+    idf = {t: math.log(1 + (n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    out = set()
+    for qi, terms, s_loc, wants in q:
+        rows = []
+        for name, words, loc, codes in docs:
+            common = [t for t in terms if t in words]
+            if common:
+                s = sum(idf[t] * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / avg)) for t in common)
+                if near is not None:
+                    s += 2.0 * near.get((s_loc, loc), location.LOWEST)
+                if filtered and wants:
+                    s += 0.5 * len(set(wants) & set(codes or [])) / len(wants)
+                rows.append((-round(s, decimals), name, round(sum(idf[t] for t in common), 6)))
+        out |= {(qi, name, -s, m, i + 1) for i, (s, name, m) in enumerate(sorted(rows)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("parts,blocks,chunk,filtered", [(1, 1, 65536, True), (1, 3, 40, True), (2, 2, 40, False), (3, 2, 17, None)])
+def test_search_in_chunks_and_blocks_equals_single_sums(spark, monkeypatch, parts, blocks, chunk, filtered):
+    monkeypatch.setattr(search, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = np.random.default_rng(4)
+    words = [f"w{j}" for j in range(9)]
+    # short texts of few words: most scores are shared by several documents, so that names decide at the k-th place
+    docs = [(f"d{rng.integers(10**6):06d}_{i}", [words[j] for j in rng.integers(0, 9, rng.integers(1, 4))], int(rng.integers(0, 4)) if i % 9 else None, [f"k={j}" for j in range(3) if rng.random() < 0.4] or None) for i in range(200)]
+    docs = [(docs[0][0], [], 0, None), *docs[1:]]
+    q = [(i, list(dict.fromkeys(words[j] for j in rng.integers(0, 9, rng.integers(1, 4)))) + ["nowhere"], int(rng.integers(0, 3)) if i % 7 else None, [f"k={j}" for j in range(3) if rng.random() < 0.5] or None) for i in range(40)]
+    near = {(0, 0): -0.5, (0, 1): -3.0, (1, 2): -0.25, (2, 0): -6.0}
+    located = filtered is not None
+    ix = Bm25Index.build(spark.createDataFrame([d[:2] for d in docs], "d string, w array<string>"), "d", "w").staged()
+    terms = spark.createDataFrame([(x[0], t) for x in q for t in x[1]], "q int, term string")
+    asked = spark.createDataFrame([(a, s, w, len(w) if w else None) for a, _, s, w in q], "q int, s_loc long, wants array<string>, n_cons long")
+    items = spark.createDataFrame([(d[0], *d[2:]) for d in docs], "d string, item_loc long, codes array<string>")
+    prior = spark.createDataFrame([(*k, v) for k, v in near.items()], "s_loc long, item_loc long, loc_logp double") if located else None
+    try:
+        got = search.best(ix, terms, "q", 6, asked=asked, items=items, near=prior, filtered=bool(filtered), location=2.0, share=0.5, matched=True, parts=parts, blocks=blocks).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["q"], r["d"], round(r["score"], 6), round(r["matched_idf"], 6), r["rnk"]) for r in got} == _brute(q, docs, 6, near if located else None, filtered)
+    assert len(got) == len({(r["q"], r["d"]) for r in got})
+
+
+def test_a_value_of_zero_still_makes_a_pair(spark):
+    ix = Bm25Index.build(spark.createDataFrame([("a", ["x"]), ("b", ["y"])], "d string, w array<string>"), "d", "w").staged()
+    terms = spark.createDataFrame([(1, "x", 0.0)], "q int, term string, value double")
+    assert [(r["d"], r["score"]) for r in search.best(ix, terms, "q", 5, value="value").collect()] == [("a", 0.0)]
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_no_row_for_every_pair_of_query_and_item(spark, monkeypatch, name):
+    def never(*_, **__):
+        raise AssertionError("a table of all pairs with a common term")
+
+    monkeypatch.setattr(Bm25Index, "scores", never)
+    assert reference_queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
