@@ -137,7 +137,7 @@ def idf_coverage(spark, sf):
     """Share of the query's idf that the 100 best items of the title index cover, by title idf over whole-text idf."""
     q, whole = asked(spark, sf), index(spark, sf)
     total = q.join(whole.idf(q.select("term").distinct()).select("term", "idf"), "term").groupBy("qi").agg(F.sum("idf").alias("q_idf"))
-    best = sparse_topk(index(spark, sf, "title").scores(q, "qi"), "qi", "item_id", "score", sources.K["title"])
+    best = search.best(index(spark, sf, "title"), q, "qi", sources.K["title"], matched=True)
     return best.join(small_side(total), "qi", "left").select("qi", "item_id", F.round(covered_idf(F.col("matched_idf"), F.coalesce("q_idf", F.lit(0.0))), 6).alias("cov_title"))
 
 
