@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from sievelake.operators.blocks import CELLS, Best, query_blocks, spread
 from sievelake.operators.filters import fraction, item_codes, query_codes
-from sievelake.operators.index import small_side
+from sievelake.operators.index import Bm25Index, small_side
 from sievelake.operators.location import LOWEST, Prior
+from sievelake.operators.search import best
 from sievelake.operators.windows import top_k
 from sievelake.staging import stage
 
@@ -61,6 +62,12 @@ def text_source(pairs: DataFrame, name: str, query: str = "qi") -> DataFrame:
     return cut(pairs, F.col("score") + LAMBDA * F.col("loc_logp") + FILTER * F.col("fb"), name, query)
 
 
+def text_search(index: Bm25Index, terms: DataFrame, name: str, queries: DataFrame, items: DataFrame, near: DataFrame, *, value: str | None = None, filtered: bool = True, query: str = "qi") -> DataFrame:
+    """The same as ``text_source`` of all pairs with a common term, without their table: scores are cut to the best K where they are added up."""
+    found = best(index, terms, query, K[name], value=value, asked=queries, items=items, near=near, filtered=filtered, location=LAMBDA, share=FILTER)
+    return found.select(query, "item_id", F.lit(name).alias("source"))
+
+
 def history_source(pairs: DataFrame, query: str = "qi") -> DataFrame:
     """hist: ``pairs`` with hist_nb and loc_logp; the prior counts once, the filter not at all."""
     return cut(pairs, F.log(F.col("hist_nb") + 1e-3) + F.col("loc_logp"), "hist", query)

@@ -355,6 +355,10 @@ def in_context(spark, sf, pairs: DataFrame) -> DataFrame:
     return sources.with_context(pairs, query_sides(spark, sf), item_sides(spark, sf), prior(spark, sf))
 
 
+def located(spark, sf, ix: Bm25Index, terms: DataFrame, name: str, value: str | None = None) -> DataFrame:
+    return sources.text_search(ix, terms, name, query_sides(spark, sf), item_sides(spark, sf), near_places(spark, sf), value=value).select("qi", "item_id")
+
+
 def src_all(spark, sf):
     """BM25 of the whole text, twice the log prior of the location and half the matched share of the filters: 200 a query."""
     return sources.text_source(in_context(spark, sf, index(spark, sf).scores(asked(spark, sf), "qi")), "all").select("qi", "item_id")
@@ -362,7 +366,7 @@ def src_all(spark, sf):
 
 def src_title(spark, sf):
     """The same by BM25 of the title, 100 a query."""
-    return sources.text_source(in_context(spark, sf, index(spark, sf, "title").scores(asked(spark, sf), "qi")), "title").select("qi", "item_id")
+    return located(spark, sf, index(spark, sf, "title"), asked(spark, sf), "title")
 
 
 def src_prof(spark, sf):
