@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import text as X
 from sievelake.functions.geo import haversine_km
 from sievelake.operators import embed, evaluate, features, filters, location, prep, querylog, ranker, search, sources, split, windows
-from sievelake.operators.index import Bm25Index, collection_stats, covered_idf, query_terms, small_side, sparse_topk, term_counts, tfidf
+from sievelake.operators.index import Bm25Index, collection_stats, covered_idf, query_terms, small_side, term_counts, tfidf
 from sievelake.plans import pipeline
 from sievelake.plans.relational_sql import SQL  # noqa: F401
 from sievelake.sources.tables import table
@@ -129,8 +129,7 @@ def bm25_topk(spark, sf):
 
 
 def bm25_title_weighted(spark, sf):
-    scores = index(spark, sf, "title").scores(asked(spark, sf), "qi")
-    return sparse_topk(scores, "qi", "item_id", "score", 50, rank="rnk").select("qi", "item_id", "score", "rnk")
+    return search.best(index(spark, sf, "title"), asked(spark, sf), "qi", 50).select("qi", "item_id", "score", "rnk")
 
 
 def idf_coverage(spark, sf):
