@@ -360,7 +360,7 @@ def located(spark, sf, ix: Bm25Index, terms: DataFrame, name: str, value: str |
 
 def src_all(spark, sf):
     """BM25 of the whole text, twice the log prior of the location and half the matched share of the filters: 200 a query."""
-    return sources.text_source(in_context(spark, sf, index(spark, sf).scores(asked(spark, sf), "qi")), "all").select("qi", "item_id")
+    return located(spark, sf, index(spark, sf), asked(spark, sf), "all")
 
 
 def src_title(spark, sf):
