@@ -424,8 +424,7 @@ def features_66(spark, sf):
 def bm25_location_topk(spark, sf):
     """BM25 and twice the log prior of the item's location, without filters."""
     q = sources.query_side(table(spark, sf, "benchmark_queries", ["qi", "search_location_id"]), None)
-    scores = sources.with_context(index(spark, sf).scores(asked(spark, sf), "qi"), q, sources.item_side(numeric_items(spark, sf), None), prior(spark, sf))
-    return sources.text_source(scores, "all").select("qi", "item_id")
+    return sources.text_search(index(spark, sf), asked(spark, sf), "all", q, sources.item_side(numeric_items(spark, sf), None), near_places(spark, sf), filtered=False).select("qi", "item_id")
 
 
 def microcat_topk(spark, sf):
