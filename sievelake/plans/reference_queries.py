@@ -376,8 +376,7 @@ def src_prof(spark, sf):
 
 def src_tr(spark, sf):
     """Titles by the translation of the query's terms, 100 a query."""
-    scores = index(spark, sf, "title").scores(query_translation(spark, sf), "qi", value="value")
-    return sources.text_source(in_context(spark, sf, scores), "tr").select("qi", "item_id")
+    return located(spark, sf, index(spark, sf, "title"), query_translation(spark, sf), "tr", value="value")
 
 
 def src_hist(spark, sf):
