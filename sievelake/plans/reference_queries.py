@@ -370,8 +370,7 @@ def src_title(spark, sf):
 
 def src_prof(spark, sf):
     """Titles by the query's profile, 100 a query."""
-    scores = index(spark, sf, "title").scores(query_profile(spark, sf), "qi", value="value")
-    return sources.text_source(in_context(spark, sf, scores), "prof").select("qi", "item_id")
+    return located(spark, sf, index(spark, sf, "title"), query_profile(spark, sf), "prof", value="value")
 
 
 def src_tr(spark, sf):

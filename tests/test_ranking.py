@@ -210,7 +210,7 @@ def test_a_value_of_zero_still_makes_a_pair(spark):
     assert [(r["d"], r["score"]) for r in search.best(ix, terms, "q", 5, value="value").collect()] == [("a", 0.0)]
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "idf_coverage", "src_title", "bm25_title_weighted", "src_all", "bm25_location_topk", "src_tr"])
+@pytest.mark.parametrize("name", ["bm25_topk", "idf_coverage", "src_title", "bm25_title_weighted", "src_all", "bm25_location_topk", "src_tr", "src_prof"])
 def test_no_row_for_every_pair_of_query_and_item(spark, monkeypatch, name):
     def never(*_, **__):
         raise AssertionError("a table of all pairs with a common term")
