@@ -217,3 +217,44 @@ def test_no_row_for_every_pair_of_query_and_item(spark, monkeypatch, name):
 
     monkeypatch.setattr(Bm25Index, "scores", never)
     assert reference_queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_derivatives_of_many_queries_at_once_equal_those_of_pairs():
+    rng = np.random.default_rng(1)
+    sizes = [1, 3, 4, 9, 40, 200, 0, 7]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    score, label = np.round(rng.normal(size=starts[-1]), 1), rng.choice([0.0, 0.0, 1.0, 2.0], starts[-1])
+    g, h = ranker.lambdas(score, label, starts, 6)
+    want_g, want_h = np.zeros(len(score)), np.zeros(len(score))
+    for a, b in zip(starts[:-1], starts[1:]):
+        rank = np.empty(b - a, int)
+        rank[np.argsort(-score[a:b], kind="stable")] = np.arange(b - a)
+        ideal = sum(x / np.log2(k + 2) for k, x in enumerate(sorted(2 ** label[a:b] - 1, reverse=True)[:6]))
+        for i in range(b - a):
+            for j in range(b - a):
+                if label[a + i] > label[a + j] and min(rank[i], rank[j]) < 6:
+                    delta = (2 ** label[a + i] - 2 ** label[a + j]) * abs(1 / np.log2(rank[i] + 2) - 1 / np.log2(rank[j] + 2)) / ideal
+                    rho = 1 / (1 + np.exp(score[a + i] - score[a + j]))
+                    want_g[a + i] += rho * delta
+                    want_g[a + j] -= rho * delta
+                    want_h[a + i] += rho * (1 - rho) * delta
+                    want_h[a + j] += rho * (1 - rho) * delta
+    assert np.allclose(g, want_g) and np.allclose(h, want_h)
+
+
+def test_a_split_sums_up_its_smaller_child_only(monkeypatch):
+    rng, seen = np.random.default_rng(2), []
+    x = np.stack([rng.normal(size=3000), rng.integers(0, 2, 3000), rng.integers(0, 3, 3000)], axis=1).astype(float)
+    x[::7, 1] = np.nan
+    label, starts = (x[:, 0] + np.nan_to_num(x[:, 1]) + rng.normal(size=3000) > 1.5).astype(float), np.arange(0, 3001, 30)
+    sums = ranker._Bundles.sums
+    monkeypatch.setattr(ranker._Bundles, "sums", lambda self, chosen, g, h, rows: seen.append((len(chosen), len(rows))) or sums(self, chosen, g, h, rows))
+    p = ranker.RankParams(rounds=1, leaves=16, min_rows=5, row_share=1.0, feature_share=1.0)
+    forest = ranker.fit_forest(x, label, starts, ["a", "b", "c"], p)
+    splits = int((forest.trees[0]["feature"] >= 0).sum())
+    assert splits == 15 and seen[0] == (2, 3000) and len(seen) <= splits + 1 and max(n for _, n in seen[1:]) <= 1500
+    # the first split is the best of all by its definition
+    g, h = ranker.lambdas(np.zeros(3000), label, starts, p.truncation)
+    parts = [(c, k, m, np.where(np.isnan(x[:, c]), m, x[:, c] <= k)) for c in range(3) for k in np.quantile(x[~np.isnan(x[:, c]), c], np.linspace(0, 1, 255)[1:]) for m in (True, False)]
+    gain = lambda left: sum(g[s].sum() ** 2 / (h[s].sum() + p.ridge) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + p.ridge)
+    assert np.isclose(max(gain(left) for *_, left in parts if 5 <= left.sum() <= 2995), forest.trees[0]["gain"][0])
