@@ -21,6 +21,8 @@ from sievelake.staging import stage
 CELLS = 2_000_000
 #: Best rows a worker holds before it cuts them to the k best of each query.
 HELD = 2_000_000
+#: The least number, which all scores but minus infinity reach.
+LEAST = np.finfo(float).min
 
 
 def width(spark: SparkSession) -> int:
@@ -51,10 +53,11 @@ class Best:
     def add(self, score: np.ndarray, names: pa.Array, extra: np.ndarray | None = None, least: float = -np.inf) -> None:
         """``score`` (queries, names); ``extra``, of the same shape, travels with it. Rows below ``least`` are left out."""
         n = score.shape[1]
-        floor = np.maximum(self.floor, least)
-        if n > self.k:
-            floor = np.maximum(floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
-        q, d = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        floor = np.maximum(np.maximum(self.floor, least), LEAST)[:, None]
+        good = score >= floor
+        if n > self.k and np.count_nonzero(good) > len(score) * self.k // 2:  # of few rows all are kept until the next cut
+            good = score >= np.maximum(floor, np.partition(score, n - self.k, axis=1)[:, [n - self.k]])
+        q, d = np.nonzero(good)
         if len(q):
             self.parts.append(pa.table({"q": pa.array(q), "s": pa.array(score[q, d]), "name": names.take(pa.array(d)), "x": pa.array(score[q, d] if extra is None else extra[q, d])}))
             self.size += len(q)

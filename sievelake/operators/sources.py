@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.operators.blocks import CELLS, Best, query_blocks, spread
+from sievelake.operators.blocks import CELLS, Best, query_blocks
 from sievelake.operators.filters import fraction, item_codes, query_codes
 from sievelake.operators.index import Bm25Index, small_side
 from sievelake.operators.location import LOWEST, Prior
@@ -27,6 +27,8 @@ K = {"all": 200, "title": 100, "prof": 100, "tr": 100, "hist": 50, "mc": 50, "em
 LAMBDA, ALPHA, FILTER, REVIEWS = 2.0, 40.0, 0.5, 0.1
 #: Query vectors of one block (10 MB at 128 values); rows of the prior that travel with a block, beyond which it is halved.
 QUERY_BLOCK, PRIOR_ROWS = 10_000, 2_000_000
+#: Items that a task reads; cells of (query, item) from which a further task pays.
+ITEM_PART, TASK_CELLS = 4_000_000, 20_000_000
 
 
 def query_side(queries: DataFrame, wanted: DataFrame | None, query: str = "qi") -> DataFrame:
@@ -133,21 +135,29 @@ def popular_source(queries: DataFrame, items: DataFrame, near: DataFrame, query:
 
 
 def vector_scores(
-    queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, k: int, *, near: DataFrame | None = None, filtered: bool = False, decimals: int = 6, alpha: float = 1.0, size: int = QUERY_BLOCK
-) -> DataFrame:
+    queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, k: int, *, near: DataFrame | None = None, filtered: bool = False, decimals: int = 6, alpha: float = 1.0, size: int | None = None,
+    parts: int | None = None,
+) -> DataFrame:
     """(query, item, sim, total, sim_max): the k best items of each query by ``alpha`` times the cosine in double, plus, with ``near``, the weighted prior
     of (s_loc, item_loc) and, if ``filtered``, the weighted share of matched filter values (wants and n_cons of queries, codes of items).
 
-    A stated set of queries against all items, in blocks: each task keeps its k best per query and the maximum over all its items, and only those travel.
+    A stated set of queries against all items: a task has a block of queries and reads the items, of a great many a part, so that it returns k rows a query
+    and the maximum over its items, whatever the number of tasks. Items are staged once and not shuffled for it.
     Vectors of another length than most queries' of the block, null, NaN or zero ones take no part.
     """
-    spark, parts = items.sparkSession, []
+    spark, found = items.sparkSession, []
     extra_q = (["s_loc"] if near is not None else []) + (["wants", "n_cons"] if filtered else [])
     extra_i = (["item_loc"] if near is not None else []) + (["codes"] if filtered else [])
     q_type, i_type = dict(queries.dtypes)[query], dict(items.dtypes)[item]
     schema = f"{query} {q_type}, {item} {i_type}, sim double, total double, task_max double"
     table = None if near is None else stage(near.select("s_loc", "item_loc", "loc_logp"), "near-prior")
-    side = spread(items.select(item, vector, *extra_i), item)
+    asked = stage(queries.select(query, vector, *extra_q).where(F.col(vector).isNotNull()), "vector-queries")
+    held = stage(items.select(item, vector, *extra_i), "vector-items")
+    n_queries, n_items = asked.count(), held.count()
+    parts = parts or max(1, -(-n_items // ITEM_PART))
+    tasks = min(2 * spark.sparkContext.defaultParallelism, max(1, n_queries * n_items // TASK_CELLS))
+    size = size or max(1, min(QUERY_BLOCK, -(-n_queries * parts // tasks)))
+    side = held.coalesce(parts)
 
     def search(block: pa.Table) -> None:
         prior = None
@@ -160,10 +170,10 @@ def vector_scores(
                 search(block.slice(half))
                 return
             prior = rows.toArrow()
-        shared = spark.sparkContext.broadcast(_QueryBlock.of(block, prior, filtered))
+        shared = spark.sparkContext.broadcast((block, prior))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
+            q = _QueryBlock.of(*shared.value, filtered)
             best, top = Best(len(q.ids), k), np.full(len(q.ids), -np.inf)
             for batch in batches:
                 rows, x = _unit_rows(batch.column(1), q.x.shape[1])
@@ -171,21 +181,25 @@ def vector_scores(
                 for at in range(0, len(rows) if len(q.ids) else 0, step):
                     mine = pa.array(rows[at : at + step])
                     sim = np.round(q.x @ x[at : at + step].T, decimals)
-                    top = np.maximum(top, sim.max(1))
-                    total = np.round(sim * alpha + q.bonus(*[batch.column(j).take(mine) for j in range(2, batch.num_columns)]), decimals)
-                    best.add(total, batch.column(0).take(mine), sim)
-            found = best.cut()
-            if found.num_rows:
-                at = found["q"].to_numpy()
-                yield from pa.table({query: q.ids.take(pa.array(at)), item: found["name"], "sim": found["x"], "total": found["s"], "task_max": top[at]}).to_batches()
-
-        parts.append(side.mapInArrow(run, schema))
-
-    for block in query_blocks(queries.select(query, vector, *extra_q).where(F.col(vector).isNotNull()), query, size):
+                    np.maximum(top, sim.max(1), out=top)
+                    total = sim * alpha
+                    total += q.bonus(*[batch.column(j).take(mine) for j in range(2, batch.num_columns)])
+                    best.add(np.round(total, decimals, out=total), batch.column(0).take(mine), sim)
+            rows = best.cut()
+            if rows.num_rows:
+                at = rows["q"].to_numpy()
+                yield from pa.table({query: q.ids.take(pa.array(at)), item: rows["name"], "sim": rows["x"], "total": rows["s"], "task_max": top[at]}).to_batches(max_chunksize=500_000)
+
+        found.append(side.mapInArrow(run, schema))
+
+    for block in query_blocks(asked, query, size):
         search(block)
-    out = parts[0]
-    for part in parts[1:]:
+    # parts of one partition each would be zipped to a single task by the union, were they all of one partitioning
+    out = found[0].repartition(2, query) if parts == 1 and len(found) > 1 else found[0]
+    for part in found[1:]:
         out = out.unionByName(part)
+    if parts == 1:
+        return out.withColumnRenamed("task_max", "sim_max")
     out = out.withColumn("sim_max", F.max("task_max").over(Window.partitionBy(query)))
     return top_k(out, [query], "total", item, k).select(query, item, "sim", "total", "sim_max")
 

@@ -396,7 +396,7 @@ def query_vectors(spark, sf) -> DataFrame:
 def src_emb(spark, sf):
     """40 times the cosine, twice the prior and half the filters' share over all items, 100 a query."""
     ids = table(spark, sf, "emb_items_full", ["ci", "item_id"]).dropDuplicates(["ci"])
-    items = vectors(spark, sf).join(ids, "ci").select("item_id", "embedding").join(item_sides(spark, sf), "item_id")
+    items = vectors(spark, sf).join(ids.join(item_sides(spark, sf), "item_id"), "ci").drop("ci")
     q = query_vectors(spark, sf).join(query_sides(spark, sf), "qi")
     return sources.vector_scores(q, items, "qi", "item_id", "embedding", sources.K["emb"], near=near_places(spark, sf), filtered=True, alpha=sources.ALPHA).select("qi", "item_id", "total")
 

@@ -258,3 +258,21 @@ def test_a_split_sums_up_its_smaller_child_only(monkeypatch):
     parts = [(c, k, m, np.where(np.isnan(x[:, c]), m, x[:, c] <= k)) for c in range(3) for k in np.quantile(x[~np.isnan(x[:, c]), c], np.linspace(0, 1, 255)[1:]) for m in (True, False)]
     gain = lambda left: sum(g[s].sum() ** 2 / (h[s].sum() + p.ridge) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + p.ridge)
     assert np.isclose(max(gain(left) for *_, left in parts if 5 <= left.sum() <= 2995), forest.trees[0]["gain"][0])
+
+
+def test_vector_search_returns_k_rows_a_query_from_all_tasks_together(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)).round(3)
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "item int, v array<float>").repartition(6)
+    queries = rows.where("item < 9").withColumnRenamed("item", "q")
+    from sievelake.operators import sources
+
+    one = sources.vector_scores(queries, rows, "q", "item", "v", 5, size=4)
+    assert "Window" not in one._jdf.queryExecution().executedPlan().toString()  # nothing of a task is cut again
+    many = sources.vector_scores(queries, rows, "q", "item", "v", 5, size=4, parts=3)
+    u = x.astype(np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    sim = np.round(u[:9] @ u.T, 6)
+    want = {(q, i, sim[q, i], sim[q].max()) for q in range(9) for i in sorted(range(60), key=lambda i: (-sim[q, i], i))[:5]}
+    got = lambda df: {(r["q"], r["item"], r["sim"], r["sim_max"]) for r in df.collect()}
+    assert got(one) == got(many) == want
