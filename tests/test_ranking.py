@@ -276,3 +276,23 @@ def test_vector_search_returns_k_rows_a_query_from_all_tasks_together(spark):
     want = {(q, i, sim[q, i], sim[q].max()) for q in range(9) for i in sorted(range(60), key=lambda i: (-sim[q, i], i))[:5]}
     got = lambda df: {(r["q"], r["item"], r["sim"], r["sim_max"]) for r in df.collect()}
     assert got(one) == got(many) == want
+
+
+def test_rows_are_scored_node_by_node(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 3)).round(1)
+    x[::5, 1] = np.nan
+    forest = ranker.fit_forest(x, (np.nan_to_num(x).sum(1) > 1).astype(float), np.arange(0, 2001, 20), ["a", "b", "c"], ranker.RankParams(rounds=6, leaves=9, min_rows=5))
+    x[::3, 0] = np.nan
+    want = np.zeros(2000)
+    for t in forest.trees:
+        for i, row in enumerate(x):
+            n = 0
+            while t["feature"][n] >= 0:
+                v = row[t["feature"][n]]
+                n = t["left"][n] if (t["default_left"][n] if np.isnan(v) else v <= t["threshold"][n]) else t["right"][n]
+            want[i] += t["value"][n]
+    blocks, add = [], ranker.Forest._add
+    monkeypatch.setattr(ranker.Forest, "_add", lambda self, columns, out, rounds: blocks.append(columns.shape) or add(self, columns, out, rounds))
+    monkeypatch.setattr(ranker, "SCORED", 700)
+    assert np.allclose(forest.predict(x), want) and blocks == [(3, 700), (3, 700), (3, 600)]
